@@ -62,10 +62,10 @@ def render(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> Da
     parts = turns.select("conv_id", F.struct("seq", F.expr("try_cast(message_id as bigint)").alias("n"), "message_id", "role", "nth", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP), escape(F.col("text")), F.lit(END)).alias("piece"), F.col("role").isin(*loss_roles).alias("loss")).alias("t"))
     whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     made = whole.select("conv_id", F.array_join(F.col("t.piece"), "").alias("formatted"), F.col("t.loss").alias("loss_mask"), "t")
-    lengths = F.transform("t", lambda t: F.char_length(t["piece"]))
-    ends = running_sum(lengths)
-    spans = F.filter(F.transform("t", lambda t, i: F.when(t["loss"], F.struct((F.get("__ends", i) - F.char_length(F.substring_index(t["piece"], SEP, -1))).cast("int").alias("start"), (F.get("__ends", i) - len(END)).cast("int").alias("end")))), lambda s: s.isNotNull())
-    return made.withColumn("__ends", ends).select("conv_id", "formatted", "loss_mask", spans.alias("loss_spans"))
+    ends = running_sum(F.transform("t", lambda t: F.char_length(t["piece"])))
+    # ``ends`` is an argument of zip_with: inside the lambda it would be computed anew for each turn
+    spans = F.zip_with("t", ends, lambda t, e: F.when(t["loss"], F.struct((e - F.char_length(F.substring_index(t["piece"], SEP, -1))).cast("int").alias("start"), (e - len(END)).cast("int").alias("end"))))
+    return made.select("conv_id", "formatted", "loss_mask", F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def running_sum(numbers: Column) -> Column:

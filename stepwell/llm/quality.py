@@ -158,15 +158,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with __score (0 to 1) and __predicted (1 if the score reaches ``threshold``)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # inside, columns go by place: any name may come
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = [sent.value.score(*features(t)) for t in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())], names=[*names, "__score", "__predicted"])
+            yield pa.record_batch([*b.columns, pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())], names=[*names, "score", "predicted"])
 
-    schema = docs.withColumns({"__score": F.lit(0.0), "__predicted": F.lit(0)}).schema
+    placed = docs.toDF(*names)
+    schema = placed.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     for f in schema.fields:
         f.nullable = True
-    return docs.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema).toDF(*docs.columns, "__score", "__predicted")

@@ -51,39 +51,36 @@ class EntropyRules:
     )
 
 
-def _lit(pattern: str) -> Column:
-    return F.lit(pattern)
+def found(values: Column, gaps: Column) -> Column:
+    """Matches with their positions: array of (start, end, value), code points, end exclusive.
 
-
-def found(text: Column, pattern: str) -> Column:
-    """All matches with their positions: array of (start, end, value), code points, end exclusive."""
-    values = F.regexp_extract_all(text, _lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = running_sum(F.transform(values, lambda v, i: F.char_length(v) + F.char_length(F.get(gaps, i))))
-    some = F.zip_with(ends, values, lambda e, v: F.struct((e - F.char_length(v)).cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value")))
-    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    ``values``: all matches; ``gaps``: what lies before, between and after them. Both are columns, and
+    arguments of the functions here, as a lambda would compute them again for each element.
+    """
+    lengths = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.char_length(v) + F.char_length(g))
+    return F.zip_with(running_sum(lengths), values, lambda e, v: F.struct((e - F.char_length(v)).cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value")))
 
 
 def window_entropy(value: Column, alphabet: str) -> Column:
     """Highest Shannon entropy (bits) of any ``WINDOW`` characters in a row of ``value``; characters outside count as none."""
-    chars = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    chars = F.filter(chars, lambda c: c >= 0)
+    chars = F.filter(F.transform(F.split(value, ""), lambda c: F.when(c != "", F.instr(F.lit(alphabet), c) - 1)), lambda c: c >= 0)
     weight = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(WINDOW + 2)])
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    nothing = F.lit(-1)
+    none = F.array_repeat(F.lit(-1), WINDOW)
+    # each character that enters, with the one that leaves as it does
+    moves = F.zip_with(chars, F.slice(F.concat(none, chars), 1, F.size(chars)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
 
-    def step(acc: Column, i: Column, cs: Column) -> Column:
-        enters, leaves = F.get(cs, i), F.when(i >= WINDOW, F.get(cs, i - WINDOW)).otherwise(nothing)
+    def step(acc: Column, move: Column) -> Column:
+        enters, leaves = move["enters"], move["leaves"]
         n_in = F.get(acc["counts"], enters)
         n_out = F.get(acc["counts"], leaves)
         change = F.when(enters == leaves, F.lit(0.0)).otherwise(F.get(weight, n_in + 1) - F.get(weight, n_in) + F.when(leaves >= 0, F.get(weight, n_out - 1) - F.get(weight, n_out)).otherwise(F.lit(0.0)))
         total = acc["sum"] + change
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        best = F.when(i >= WINDOW - 1, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+        best = F.when(acc["n"] >= WINDOW - 1, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"), (acc["n"] + 1).alias("n"))
 
-    places = F.when(F.size(chars) > 0, F.sequence(F.lit(0), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, lambda acc, i: step(acc, i, chars), lambda acc: acc["best"])
+    return F.aggregate(moves, zero, step, lambda acc: acc["best"])
 
 
 def scan(df: DataFrame, text_col: str = "text", rules: EntropyRules = EntropyRules()) -> DataFrame:
@@ -109,7 +106,11 @@ def scan(df: DataFrame, text_col: str = "text", rules: EntropyRules = EntropyRul
 
     cols = [F.col(quoted(c)) for c in df.columns]
     step = df.select(*cols, text.alias("__text"))
-    step = step.select(*cols, found(F.col("__text"), ASSIGN).alias("__assign"), found(F.col("__text"), ACCESS).alias("__access"), found(F.col("__text"), HEX).alias("__hex"), found(F.col("__text"), CANDIDATE).alias("__cand"))
+    patterns = {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX, "__cand": CANDIDATE}
+    step = step.select(*cols, "__text", *[F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias(f"{k}_values") for k, p in patterns.items()])
+    # a text is split only where it has a match
+    step = step.select(*cols, *[f"{k}_values" for k in patterns], *[F.when(F.size(f"{k}_values") > 0, F.split("__text", p, -1)).otherwise(F.array().cast("array<string>")).alias(f"{k}_gaps") for k, p in patterns.items()])
+    step = step.select(*cols, *[found(F.col(f"{k}_values"), F.col(f"{k}_gaps")).alias(k) for k in patterns])
     step = step.withColumn("__cand", F.filter("__cand", plausible))
     spans = F.concat(assign, F.transform("__access", tagged(1)), F.transform("__hex", tagged(2)), F.transform(F.filter("__cand", dense), entropy_span))
     return step.select(*cols, F.array_sort(spans).alias("__spans"))
@@ -124,7 +125,7 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """``text`` with each run of overlapping spans replaced by ``mark``; spans sorted by start."""
     steps = F.filter(F.array(*[F.lit(1 << k) for k in range(26)]), lambda s: s < F.size(spans))
     reach = F.aggregate(steps, F.transform(spans, lambda s: s["end"]), lambda acc, s: F.transform(acc, lambda x, i: F.greatest(x, F.when(i >= s, F.get(acc, i - s)))))
-    before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
-    kept = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark))).otherwise(F.lit("")))
-    rest = F.substring(text, F.element_at(reach, -1) + 1, F.char_length(text))
+    before = F.slice(F.concat(F.array(F.lit(0)), reach), 1, F.size(spans))
+    kept = F.zip_with(spans, before, lambda s, b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, s["start"] - b), F.lit(mark))).otherwise(F.lit("")))
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(text)
