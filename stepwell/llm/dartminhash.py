@@ -14,9 +14,9 @@ O(size + k log k).
    form a bucket. Each is compared with the bucket's centre (least hash), not with each other: a
    bucket of m gives m - 1 pairs.
 3. Pairs are verified by exact Jaccard similarity of their shingle sets; links give classes.
-4. The rest exactly: buckets that still hold several classes are searched by prefix filtering. Of each
-   such document the rarest (1 - t) n + 1 shingles are kept; two sets with similarity t or more share one
-   of them. Only pairs of different classes that share one are verified. So no bucket is capped.
+4. The rest exactly: buckets that still hold several classes are searched pair by pair, in blocks of
+   bounded size that meet two at a time in a task. Overlaps are counted inside the task, which returns
+   only the links that join classes, so no bucket is capped and no pair becomes a row.
 5. Classes are connected components, labelled by their least doc_id: labels spread along links and
    jump, each round a table in the shared folder.
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import materialise, slices
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 24, 6, 5, 0.8
+#: Shingles in a block of step 4, about (8 bytes each).
+BLOCK = 1 << 18
 _U = np.uint64
 
 
@@ -205,40 +207,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links across classes in buckets with several: prefix filtering, without loss, on the documents of these buckets."""
+def block_links(rep: np.ndarray, label: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join different classes among the rows of a block, as few as join them all.
+
+    If ``part`` has two values only pairs across them are looked at. Overlaps are counted through the
+    rows of each shingle, for all documents outside the largest class.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner, found = np.repeat(np.arange(len(sets)), sizes), []
+    values, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[at] > 1
+    at, owner = at[shared], owner[shared]
+    order = np.argsort(at, kind="stable")
+    rows = owner[order]
+    ends = np.cumsum(np.bincount(at, minlength=len(values)))
+    split = np.searchsorted(owner, np.arange(len(sets) + 1))
+    across = part.min() != part.max()
+    top = {int(x): int(x) for x in label}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    names, members = np.unique(label, return_counts=True)
+    largest = names[int(members.argmax())]
+    for i in np.flatnonzero(label != largest):
+        mine = at[split[i] : split[i + 1]]
+        if not len(mine):
+            continue
+        many = often[mine]
+        place = np.repeat(ends[mine] - np.cumsum(many), many) + np.arange(int(many.sum()))
+        both = np.bincount(rows[place], minlength=len(sets))
+        near = (both >= similarity * (sizes + sizes[i] - both)) & (label != label[i])
+        if across:
+            near &= part != part[i]
+        for j in np.flatnonzero(near):
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                found.append((int(rep[i]), int(rep[j])))
+    return found
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links across classes in buckets with several: every pair of such a bucket is looked at, in blocks.
+
+    Buckets with the same members are searched once. A bucket with more than ``block`` shingles is dealt
+    to blocks by a hash, and each two blocks meet in a task: memory is bounded, no pair becomes a row.
+    """
     now = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_keys = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    docs = materialise(now.join(open_keys, "key", "left_semi").select("rep", "label").distinct(), "unresolved")
+    keys = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.sum("n").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("who")).where("x < y")
+    keys = keys.groupBy("who", "m", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = now.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "label", "part").join(sets.toDF("rep", "set"), "rep")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            got = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-            n = [len(x) for x in got]
-            if sum(n):
-                at = np.repeat(np.arange(len(n)), n)
-                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(got), pa.int64())], names=["rep", "label", "n", "shingle"])
-
-    rows = materialise(docs.join(sets.toDF("rep", "set"), "rep").mapInArrow(run, "rep long, label long, n int, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
-    # Shared shingles of each document, rarest first. Those of one document only come before all of them.
-    shared = rows.join(often.where("df > 1"), "shingle")
-    order = F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("x") < F.col("y")).alias("across"))))
-    lists = shared.groupBy("rep", "label", "n").agg(order.alias("s"))
-    room = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - (F.col("n") - F.size("s"))
-    prefix = lists.where(room > 0).withColumn("s", F.slice("s", 1, room.cast("int"))).select("rep", "label", "n", F.explode("s").alias("s")).where("s.across")
-    prefix = materialise(prefix.select("rep", "label", "n", F.col("s.shingle").alias("shingle")), "prefixes")
-    left, right = prefix.toDF("a", "la", "na", "shingle"), prefix.toDF("b", "lb", "nb", "shingle")
-    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-    pairs = left.join(right, "shingle").where(near).select("a", "b").distinct()
-    return verified(pairs, sets, similarity)
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label, part = (table[c].to_numpy() for c in ("rep", "label", "part"))
+        got = []
+        if len(rep) > 1 and label.min() != label.max():
+            got = block_links(rep, label, part, [np.frombuffer(x, _U) for x in table["set"].to_pylist()], similarity)
+        return pa.table([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), one row a document."""
     signed = materialise(signatures(docs, id_col, text_col, weighted), "signatures")
     reps = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "representatives")
-    rows = reps.select("rep", F.explode("keys").alias("key"))
+    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep"), "rep")).alias("c"), F.count("*").alias("m")).where("m > 1")
     members = materialise(rows.join(centres.select("key", F.col("c.rep").alias("centre")), "key"), "bucket-members")
     pairs = members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()

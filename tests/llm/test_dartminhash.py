@@ -72,3 +72,16 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 102: 100}
     with pytest.raises(KeyError):
         got[999]
+
+
+def test_blocks_find_what_one_block_finds(spark, monkeypatch):
+    docs = [(k, shifted(120, 5 * k)) for k in range(20)] + [(100 + k, shifted(120, 0) + f" x{k} y{k} z{k}") for k in range(20)]
+    whole = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = dartminhash.shingle_sets(df, df.select("doc_id"))
+    members = df.selectExpr("doc_id as rep", "1L as key", "120 as n")
+    labels = df.selectExpr("doc_id as node", "doc_id as label")
+    for block in (1 << 18, 400):
+        links = dartminhash._rest(members, labels, sets, 0.8, block)
+        got = {r["node"]: r["label"] for r in rows(dartminhash.components(links))}
+        assert {i: got.get(i, i) for i in whole} == whole
