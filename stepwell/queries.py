@@ -126,6 +126,11 @@ def expr_rollup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(evaluate(read(spark, sf_dir, "orders"), ":true,:count,(,clerk,),:rollup-keep", orders()), "name", "clerk", "o_orderstatus")
 
 
+def whole(value: str, seconds: int) -> Column:
+    """A rate as the total of its interval: that has few decimals, so rounding never meets a tie."""
+    return F.round(F.col(value) * seconds, 4)
+
+
 def event_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", millis("ts").alias("ts_ms"), F.col("value").alias("amount"))
 
@@ -134,25 +139,25 @@ _EVENTS = "(select event_id, user_id, event_type, epoch_us(ts) // 1000 as ts_ms,
 HOUR, MINUTE, DAY = 3_600_000, 60_000, 86_400_000
 
 
-@registered(f"select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, round(sum(amount) / 3600, 6) as value from {_EVENTS} where amount > 0 group by 1, 2")
+@registered(f"select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, round(sum(amount) / 3600 * 3600, 4) as value from {_EVENTS} where amount > 0 group by 1, 2")
 def meter_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meters.counter(event_updates(spark, sf_dir), ["event_type"], HOUR).withColumn("value", F.round("value", 6))
+    return meters.counter(event_updates(spark, sf_dir), ["event_type"], HOUR).withColumn("value", whole("value", 3600))
 
 
 def _totals_sql(total: str, unit: float) -> str:
     inner = f"select event_type, (ts_ms // {DAY} + 1) * {DAY} as ts_ms, count(*) / 86400.0 as n, sum(amount) * {unit} / 86400 as t, sum(amount * amount) * {unit} * {unit} / 86400 as q, max(amount) * {unit} as m from {_EVENTS} group by 1, 2"
-    return " union all ".join(f"select event_type, ts_ms, '{s}' as statistic, round({c}, 6) as value from ({inner})" for s, c in (("count", "n"), (total, "t"), ("totalOfSquares", "q"), ("max", "m")))
+    return " union all ".join(f"select event_type, ts_ms, '{s}' as statistic, round({c} * 86400, 4) as value from ({inner})" for s, c in (("count", "n"), (total, "t"), ("totalOfSquares", "q"), ("max", "m")))
 
 
 @registered(_totals_sql("totalAmount", 1.0))
 def meter_distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meters.distribution_summary(event_updates(spark, sf_dir), ["event_type"], DAY).withColumn("value", F.round("value", 6))
+    return meters.distribution_summary(event_updates(spark, sf_dir), ["event_type"], DAY).withColumn("value", whole("value", 86400))
 
 
 @registered(_totals_sql("totalTime", 1e-9).replace("sum(amount)", "sum(amount * 1e9)").replace("amount * amount", "amount * 1e9 * amount * 1e9").replace("max(amount)", "max(amount * 1e9)"))
 def meter_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_updates(spark, sf_dir).withColumn("amount", F.col("amount") * 1e9)
-    return meters.timer(rows, ["event_type"], DAY).withColumn("value", F.round("value", 6))
+    return meters.timer(rows, ["event_type"], DAY).withColumn("value", whole("value", 86400))
 
 
 @registered(f"select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, arg_max(amount, (ts_ms, event_id)) as value from {_EVENTS} group by 1, 2")
@@ -165,10 +170,10 @@ def meter_max_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.max_gauge(event_updates(spark, sf_dir), ["event_type"], HOUR)
 
 
-@registered(f"with r as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, sum(amount) / 3600 as v from {_EVENTS} where user_id < 5 group by 1, 2), s as (select event_type, unnest(generate_series(min(ts_ms), max(ts_ms), {HOUR})) as ts_ms from r group by 1) select s.event_type, s.ts_ms, round(coalesce(r.v, 0), 6) as value from s left join r on s.event_type = r.event_type and s.ts_ms = r.ts_ms")
+@registered(f"with r as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, sum(amount) / 3600 as v from {_EVENTS} where user_id < 5 group by 1, 2), s as (select event_type, unnest(generate_series(min(ts_ms), max(ts_ms), {HOUR})) as ts_ms from r group by 1) select s.event_type, s.ts_ms, round(coalesce(r.v, 0) * 3600, 4) as value from s left join r on s.event_type = r.event_type and s.ts_ms = r.ts_ms")
 def meter_dense_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = meters.counter(event_updates(spark, sf_dir).where("user_id < 5"), ["event_type"], HOUR)
-    return meters.densified(got, ["event_type"], HOUR).withColumn("value", F.round("value", 6))
+    return meters.densified(got, ["event_type"], HOUR).withColumn("value", whole("value", 3600))
 
 
 @registered(f"select user_id, event_type, count(*) as count, round(sum(amount), 2) as total from {_EVENTS} where amount >= 0 group by 1, 2")
@@ -204,13 +209,13 @@ _RATES = f"(select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, sum(amount)
 def _consolidated(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rates = meters.counter(event_updates(spark, sf_dir), ["event_type"], HOUR)
-        return consolidate.consolidate(rates, ["event_type"], HOUR, 6, kind).withColumn("value", F.round("value", 6))
+        return consolidate.consolidate(rates, ["event_type"], HOUR, 6, kind).withColumn("value", whole("value", 21600))
 
     return run
 
 
 for _kind, _agg in (("avg", "sum(v) / 6"), ("max", "max(v)"), ("none", "arg_max(v, t)")):
-    registered(f"select event_type, ((t + {6 * HOUR - 1}) // {6 * HOUR}) * {6 * HOUR} as ts_ms, round({_agg}, 6) as value from {_RATES} group by 1, 2", f"consolidate_{_kind}")(_consolidated(_kind))
+    registered(f"select event_type, ((t + {6 * HOUR - 1}) // {6 * HOUR}) * {6 * HOUR} as ts_ms, round({_agg} * 21600, 4) as value from {_RATES} group by 1, 2", f"consolidate_{_kind}")(_consolidated(_kind))
 
 
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ from ..plans.compile import Series
 from ..plans.parser import parse_data_expr
 
 
-def right_closed(ts: Column, step: str) -> Column:
-    """Window whose end belongs to it: event time less a millisecond in a left-closed window."""
-    return F.window(ts - F.expr("interval 1 millisecond"), step)
+def right_closed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """``df`` with __ts, a millisecond before ``ts``, and a watermark on it: left-closed windows over it hold their end."""
+    return df.withColumn("__ts", F.col(ts) - F.expr("interval 1 millisecond")).withWatermark("__ts", late)
 
 
 def step_rates(updates: DataFrame, ids: list[str], step_seconds: int, late: str = "0 seconds", ts: str = "ts", amount: str = "amount") -> DataFrame:
@@ -29,7 +29,7 @@ def consolidated(points: DataFrame, ids: list[str], step: str, multiple: int, ki
     """Right-closed intervals: avg over ``multiple`` points, or max. Points older than the watermark are dropped."""
     v = F.nanvl(F.col("value"), F.lit(None).cast("double"))
     value = F.sum(v) / multiple if kind == "avg" else F.max(v)
-    got = points.withWatermark(ts, late).groupBy(right_closed(F.col(ts), step).alias("w"), *ids).agg(value.alias("value"))
+    got = right_closed(points, ts, late).groupBy(F.window("__ts", step).alias("w"), *ids).agg(value.alias("value"))
     return got.select(*ids, "w", F.col("w.end").alias(ts), "value").where("value is not null")
 
 
