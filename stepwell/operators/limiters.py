@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OTHERS, ROLLED_UP = "--others--", "--auto-rollup--"
-#: No limiter keeps more values than this.
+#: ``first`` and ``most_frequent`` keep no more values than this; rollups have no such bound.
 MOST = 100
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
@@ -50,7 +50,7 @@ def rollup(df: DataFrame, value: str, n: int, groups: list[str] = (), out: str =
         over = df.join(count, list(groups))
     else:
         over = df.crossJoin(F.broadcast(df.agg(F.count_distinct(value).alias("__n"))))  # one row
-    return over.withColumn(out, F.when(F.col("__n") > _budget(n), F.lit(ROLLED_UP)).otherwise(F.col(value))).drop("__n")
+    return over.withColumn(out, F.when(F.col("__n") > n, F.lit(ROLLED_UP)).otherwise(F.col(value))).drop("__n")
 
 
 def rollup_in_order(df: DataFrame, value: str, n: int, order: list[str], groups: list[str] = (), out: str = "limited") -> DataFrame:
@@ -58,9 +58,9 @@ def rollup_in_order(df: DataFrame, value: str, n: int, order: list[str], groups:
     seen = df.groupBy(*groups, value).agg(F.min(F.struct(*order)).alias("__at"))
     if groups:
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy("__at"))
-        turn = seen.withColumn("__r", rank).where(F.col("__r") == _budget(n) + 1).select(*groups, "__at")
+        turn = seen.withColumn("__r", rank).where(F.col("__r") == n + 1).select(*groups, "__at")
     else:
-        turn = seen.orderBy("__at").limit(_budget(n) + 1).agg(F.max("__at").alias("__at"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > _budget(n)).select("__at")
+        turn = seen.orderBy("__at").limit(n + 1).agg(F.max("__at").alias("__at"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > n).select("__at")
     joined = df.join(turn, list(groups), "left") if groups else df.join(F.broadcast(turn), F.lit(True), "left")
     return joined.withColumn(out, F.when(F.col("__at").isNotNull() & (F.struct(*order) >= F.col("__at")), F.lit(ROLLED_UP)).otherwise(F.col(value))).drop("__at")
 
