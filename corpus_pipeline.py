@@ -42,7 +42,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: a row for each time a document is taken."""
+    """Sources mixed to their targets: a row for each time a document is taken.
+
+    Rows are written by shard and position, and packing takes the rows of a file in their order.
+    """
     mixed = mixing.drawn(mixing.mix(docs))
     return mixed.select(*[F.col(quoted(c)) for c in docs.columns])
 

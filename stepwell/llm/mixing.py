@@ -131,7 +131,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def drawn(mixed: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix itself: a row for each time a row is taken, with shard and position (the local shuffle's order)."""
+    """The mix itself: a row for each time a row is taken, with shard and position, in the order of the mix.
+
+    Partitions ascend with (shard, position) and are sorted by it: a shard is a run of rows, shuffled locally.
+    A large shard spans several partitions.
+    """
     cols = [c for c in mixed.columns if not c.startswith("__")]
     rows = mixed.select(*[F.col(quoted(c)) for c in cols], F.explode("__takes").alias("__t"))
-    return rows.select(*[F.col(quoted(c)) for c in cols], F.col("__t.shard").alias("shard"), F.col("__t.position").alias("position"))
+    order = [F.col("__t.shard"), F.col("__t.position")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.select(*[F.col(quoted(c)) for c in cols], F.col("__t.shard").alias("shard"), F.col("__t.position").alias("position"))

@@ -28,7 +28,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, size=F.col("size"))
-    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.size("__takes")).alias("taken"))
+    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.size("__takes")).alias("taken"), *[F.col(f"__takes.{x}").alias(x) for x in ("shard", "block", "position")])
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
