@@ -176,6 +176,13 @@ def meter_dense_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.densified(got, ["event_type"], HOUR).withColumn("value", whole("value", 3600))
 
 
+@registered(f"with r as (select event_type, (ts_ms // {10 * MINUTE} + 1) * {10 * MINUTE} as ts_ms, sum(amount) / 600 as v from {_EVENTS} where amount > 0 group by 1, 2), s as (select event_type, unnest(generate_series(min(ts_ms), max(ts_ms), {10 * MINUTE})) as ts_ms from r group by 1) select s.event_type, s.ts_ms, round(coalesce(r.v, 0) * 600, 4) as value from s left join r on s.event_type = r.event_type and s.ts_ms = r.ts_ms")
+def meter_dense_counter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users; steps so fine that some have no updates."""
+    got = meters.counter(event_updates(spark, sf_dir), ["event_type"], 10 * MINUTE)
+    return meters.densified(got, ["event_type"], 10 * MINUTE).withColumn("value", whole("value", 600))
+
+
 @registered(f"select user_id, event_type, count(*) as count, round(sum(amount), 2) as total from {_EVENTS} where amount >= 0 group by 1, 2")
 def meter_cumulative_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.cumulative(event_updates(spark, sf_dir), ["user_id", "event_type"], "timer").withColumn("total", F.round("total", 2))
