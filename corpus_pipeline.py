@@ -21,12 +21,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Documents with an id, and __key: their doc_id, or a new number above all ids for further texts of one doc_id."""
+    named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    texts = named.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__text").alias("x"), F.max("__text").alias("y"))
+    clashing = materialise(texts.where("x < y"), "clashing-ids")
+    if clashing.isEmpty():
+        return named.drop("__text").withColumn("__key", F.col("doc_id").cast("long"))
+    top = int(named.agg(F.max(F.col("doc_id").cast("long"))).first()[0]) + 1
+    more = named.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t")).join(clashing, "__id").where("__t > x").select("__id", "__t").distinct()
+    more = materialise(more.withColumn("__new", F.monotonically_increasing_id() + F.lit(top)), "new-keys")
+    keyed = named.join(more, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__t")), "left")
+    keyed = keyed.withColumn("__key", F.coalesce("__new", F.col("doc_id").cast("long")))
+    return materialise(keyed.drop("__text", "__id", "__t", "__new"), "row-keys")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (its least doc_id); documents without an id stay."""
-    classes = dartminhash.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id")
+    """One document of each near-duplicate class (its least doc_id); documents without an id stay.
+
+    Rows that share a doc_id but not the text are documents of their own.
+    """
+    keyed = row_keys(docs)
+    classes = dartminhash.near_duplicates(keyed, "__key")
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__key"))
     cols = [F.col(quoted(c)) for c in docs.columns]
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    named = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*cols)
     return named.unionByName(docs.where("doc_id is null"))
 
 
