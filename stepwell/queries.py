@@ -194,6 +194,12 @@ def meter_stateless_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("value", F.round("value", 2))
 
 
+@registered(f"with x as (select event_type, count(*)::double as n, sum(amount) as t, sum(amount * amount) as q, max(amount) as m from {_EVENTS} where amount >= 0 group by 1) select event_type, 'count' as statistic, 'add' as op, n as value from x union all select event_type, 'totalAmount', 'add', round(t, 4) from x union all select event_type, 'totalOfSquares', 'add', round(q, 4) from x union all select event_type, 'max', 'max', m from x")
+def meter_stateless_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four statistics."""
+    return meters.deltas(event_updates(spark, sf_dir), ["event_type"], "summary").withColumn("value", F.round("value", 4))
+
+
 @registered(f"select user_id, count(*) as count, (1706745600000 - max(ts_ms)) / 1000.0 as seconds_since from {_EVENTS} group by 1")
 def meter_interval_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.interval_counter(event_updates(spark, sf_dir), ["user_id"], 1_706_745_600_000)
@@ -472,6 +478,12 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(sinks.measurement_json(F.col("name"), F.col("tags"), F.col("ts_ms"), F.col("value")).alias("json"))
 
 
+@registered("""select '{"tags":{"dstype":"gauge","name":"event","type":"' || event_type || '","user":"' || user_id || '"},"timestamp":' || (epoch_us(ts) // 1000) || ',"value":' || (case when value = floor(value) then value::bigint || '.0' else value::varchar end) || '}' as json from events""")
+def sink_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all types."""
+    return events_series(spark, sf_dir).select(sinks.measurement_json(F.col("name"), F.col("tags"), F.col("ts_ms"), F.col("value")).alias("json"))
+
+
 @registered("select 'c:event,type=' || event_type || ',user=' || user_id || ':' || (case when value = floor(value) then value::bigint || '.0' else value::varchar end) as line from events")
 def sink_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_series(spark, sf_dir).select(sinks.line(F.lit("counter"), F.col("name"), F.col("tags"), F.col("value")).alias("line"))
