@@ -6,15 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE_ROWS = 128
+#: Bytes of text that a Python worker handles at a time, where it works on whole columns.
+SLICE_BYTES = 8 << 20
+
+_STATE: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,18 +73,55 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def prefix_sums(totals: dict[int, int]) -> dict[int, int]:
-    """The sum of all totals at smaller keys, by key."""
-    out, run = {}, 0
-    for k in sorted(totals):
-        out[k] = run
-        run += totals[k]
-    return out
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into pieces with about ``most`` bytes in a string column (a longer text is a piece of its own)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, such as an encoder: one at a time, so that a worker that
+    another operator used before holds nothing of it."""
+    if name not in _STATE:
+        _STATE.clear()
+        _STATE[name] = make()
+    return _STATE[name]
+
 
+#: Rows of a few numbers each that may be broadcast (about 10 MB); larger tables are joined by key.
+BROADCAST_ROWS = 100_000
 
-def part_totals(df: DataFrame, part: str, n: str) -> dict[int, int]:
-    """Sums of ``n`` by partition number: one row a partition comes to the driver."""
-    return {r[0]: int(r[1] or 0) for r in df.groupBy(part).agg(F.sum(n)).collect()}
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of a known number of rows, broadcast only up to ``BROADCAST_ROWS``; beyond, Spark joins by key."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def with_offsets(df: DataFrame, part: str, n: str) -> DataFrame:
+    """``df`` with __before (sum of ``n`` in partitions of smaller number) and __total (in its own partition).
+
+    One row a partition is summed up in one task; nothing of it passes the driver.
+    """
+    totals = df.groupBy(F.col(part).alias("__part")).agg(F.sum(n).cast("long").alias("__total"))
+    run = F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = materialise(totals.withColumn("__before", run), "partition-offsets")
+    return df.join(small(sums, sums.count()), F.col(part) == F.col("__part")).drop("__part")
+
+
+def binary_rows(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Rows of ``n`` numbers each as binary values, without a copy."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * ids.dtype.itemsize
+    wide = ends[-1] >= 1 << 31
+    kind, offsets = (pa.large_binary(), ends.astype(np.int64)) if wide else (pa.binary(), ends.astype(np.int32))
+    return pa.Array.from_buffers(kind, len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def hashable(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:

@@ -2,7 +2,7 @@
 
 All documents form one stream of token ids; the stream is cut into windows of ``seq_len``. Pass one
 tokenises each partition once and writes the ids with their offset inside the partition. Prefix sums
-over the partitions' token totals (one number a partition) give global offsets. Pass two cuts the
+over the partitions' token totals (one number a partition) give global offsets, joined by partition. Pass two cuts the
 stored ids at multiples of ``seq_len``; the first and last window of a partition are boundary records
 that ``sequences`` joins across partitions. Nothing is sorted and no text is shuffled.
 
@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, part_totals, prefix_sums, slices
-from .tokens import encoder
+from .common import binary_rows, materialise, slices, with_offsets
+from .tokens import encoded, encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
@@ -31,13 +31,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     """Pass one, as a table in the shared folder: doc_id, part, local (offset in its partition), n, ids (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, local = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        for b in slices(batches):
-            ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            n = [len(x) // enc.dtype.itemsize for x in ids]
+        part, local = TaskContext.get().partitionId(), 0
+        for b, ids, n in encoded(batches, tokenizer, 1):
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             at = np.cumsum([local, *n])
-            yield pa.record_batch([b.column(0), pa.array([part] * len(n), pa.int32()), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "local", "n", "ids"])
+            yield pa.record_batch([b.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64()), binary_rows(ids, n)], names=["doc_id", "part", "local", "n", "ids"])
             local = int(at[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -59,15 +57,13 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0,
     if seq_len < 1:
         raise ValueError("seq_len must be positive")
     ids = tokenised(docs, tokenizer, end_id, id_col, text_col)
-    totals = part_totals(ids, "part", "n")
-    before, kind = prefix_sums(totals), "<u2" if id_bytes(tokenizer) == 2 else "<u4"
+    kind = "<u2" if id_bytes(tokenizer) == 2 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
             out: list[list] = [[] for _ in range(9)]
-            for doc, part, local, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                at, wide, done = before[part] + local, np.frombuffer(raw, kind).astype("<u4"), 0
-                first, last = before[part], before[part] + totals[part]
+            for doc, local, n, raw, first, total in zip(*(c.to_pylist() for c in b.columns)):
+                at, wide, done, last = first + local, np.frombuffer(raw, kind).astype("<u4"), 0, first + total
                 while done < n:
                     seq, off = divmod(at + done, seq_len)
                     take = min(n - done, seq_len - off)
@@ -81,7 +77,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0,
             k = 9 if with_ids else 8
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out[:k], kinds)], names=names[:k])
 
-    return ids.mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    placed = with_offsets(ids, "part", "n").select("doc_id", "local", "n", "ids", "__before", "__total")
+    return placed.mapInArrow(run, PIECE + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame, seq_len: int = 1024, pad_id: int = 0) -> DataFrame:

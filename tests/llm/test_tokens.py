@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from stepwell.llm import packing, queries, tokenfile
-from stepwell.llm.tokens import encoder
+from stepwell.llm.tokens import ColumnEncoder, encoder
 
 from .helpers import EDGE, edge, empty, rows, table
 
@@ -26,12 +26,23 @@ def ids_of(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'.,!aZé0 s<|>\x02\x85 ßΩж中\U0001f600")), st.characters(exclude_categories=["Cs"]))))
 def test_ids_equal_the_library(text):
-    assert np.frombuffer(encoder(VOCABULARY).encode([text])[0], "<u2").tolist() == ids_of(text)
+    assert encoder(VOCABULARY).encode(pa.array([text]))[0].tolist() == ids_of(text)
 
 
-@pytest.mark.parametrize("text", ["it's they'll  x", "a <|endoftext|> b<|endoftext|>", "word. word, (word) 'word'", "tail ", "\n\nhead", "a \n b", "x" * 5000, "ſ ŉ K İ"])
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\t'.,!aZé0$<|>\x02жﬁ"))), max_size=12))
+def test_columns_keep_their_order(texts):
+    enc = ColumnEncoder(VOCABULARY, chunks=8, size=100) if len(texts) % 3 == 0 else encoder(VOCABULARY)  # also one that forgets at each turn
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(texts, pa.string()))
+        assert n.tolist() == [len(ids_of(t)) for t in texts]
+        assert ids.tolist() == [i for t in texts for i in ids_of(t)]
+    assert len(enc.known) <= 8 or enc.most > 8
+
+
+@pytest.mark.parametrize("text", ["it's they'll  x", "a <|endoftext|> b<|endoftext|>", "word. word, (word) 'word'", "tail ", "\n\nhead", "a \n b", "x" * 5000, "ſ ŉ K İ", "end$$$ é, é,.! ×. x÷ <|endoftext|>, a, <|endoftext|>. b's, c' d", "a,b. c_. _d_ "])
 def test_ids_of_chosen_texts(text):
-    assert np.frombuffer(encoder(VOCABULARY).encode([text])[0], "<u2").tolist() == ids_of(text)
+    assert encoder(VOCABULARY).encode(pa.array([text]))[0].tolist() == ids_of(text)
 
 
 def check_pieces(got, docs, end, seq_len=1024):
