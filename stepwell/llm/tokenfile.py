@@ -6,7 +6,7 @@ Arrow file whose record batches hold ``fixed_size_list`` columns: ``ids`` (``seq
 and lie next to each other, so token t of a file is at value ``t % (seq_len * batch)`` of batch
 ``t // (seq_len * batch)``: a reader maps the file and slices, without copying or scanning.
 An index table tells for each document its file, offset in it and length; prefix sums over the files'
-totals (one number a file) give the offset in the whole corpus.
+totals (one number a file, joined by partition) give the offset in the whole corpus.
 
 A file is written under a name of its own for each task attempt and put in place by a rename; only the
 attempt whose index rows were committed is ever read. Null texts count as empty (the end id is still
@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, ordered, part_totals, prefix_sums, slices
-from .tokens import encoder
+from .common import materialise, new_path, ordered, slices, with_offsets
+from .tokens import encoded, encoder
 
 INDEX = "doc_id long, part int, file string, local long, n_tokens long"
 
@@ -75,22 +76,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int
     out = out or new_path(docs.sparkSession, "token-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
+        part, writer = TaskContext.get().partitionId(), None
         name, local = f"part-{part:06d}-{uuid.uuid4().hex}.arrow", 0
         fs, folder = _open(out)
-        for b in slices(batches):
+        for b, ids, n in encoded(batches, tokenizer, 1):
             if writer is None:
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(f"{folder}/_{name}")
-                writer = SequenceWriter(sink, enc.dtype, seq_len, batch)
-            n = []
-            for raw in enc.encode([t or "" for t in b.column(1).to_pylist()]):
-                ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(end_id))
-                writer.add(ids)
-                n.append(len(ids))
+                writer = SequenceWriter(sink, encoder(tokenizer).dtype, seq_len, batch)
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            writer.add(ids)
             at = np.cumsum([local, *n])
             local = int(at[-1])
-            yield pa.record_batch([b.column(0), pa.array([part] * len(n), pa.int32()), pa.array([f"{out}/{name}"] * len(n), pa.string()), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "part", "file", "local", "n_tokens"])
+            yield pa.record_batch([b.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array([f"{out}/{name}"] * len(n), pa.string()), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "part", "file", "local", "n_tokens"])
         if writer is not None:
             writer.close()
             sink.close()
@@ -131,12 +129,10 @@ class SequenceFile:
 def read_tokens(index: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32
     and, if asked for, the ids as little-endian 32-bit bytes. Each file is opened once a task."""
-    before = prefix_sums(part_totals(index, "part", "n_tokens"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = "", None
         for b in slices(batches, 1024):
-            doc, part, files, local, n = (c.to_pylist() for c in b.columns)
+            files, local, n = (b.column(i).to_pylist() for i in (2, 3, 4))
             crc, raw = [], []
             for f, at, k in zip(files, local, n):
                 if f != name:
@@ -146,9 +142,10 @@ def read_tokens(index: DataFrame, with_ids: bool = False) -> DataFrame:
                 ids = file.tokens(at, k).astype("<u4")
                 crc.append(zlib.crc32(ids))
                 raw.append(ids.tobytes() if with_ids else None)
-            cols = [b.column(0), pa.array([before[p] + a for p, a in zip(part, local)], pa.int64()), b.column(4), pa.array(crc, pa.int64())]
+            cols = [b.column(0), pc.add(b.column(5), b.column(3)), b.column(4), pa.array(crc, pa.int64())]
             yield pa.record_batch(cols + [pa.array(raw, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
         if file is not None:
             file.close()
 
-    return index.select(*[c.split()[0] for c in INDEX.split(", ")]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    placed = with_offsets(index, "part", "n_tokens").select(*[c.split()[0] for c in INDEX.split(", ")], "__before")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
