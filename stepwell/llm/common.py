@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE_ROWS = 128
 #: Bytes of text that a Python worker handles at a time, where it works on whole columns.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 _STATE: dict[str, Any] = {}
 
@@ -137,6 +137,26 @@ def hashable(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in without and ok(f.dataType)]
 
 
+def spread_copies(df: DataFrame, key: str, rows: int, chunk: int = 10_000) -> DataFrame:
+    """``df`` with ``key`` (a hash of all hashable columns) made different for rows equal in every column, where over ``rows`` share it.
+
+    Such rows are counted (a partial aggregate) and dealt out again with a number each, so they don't meet in one task.
+    Nothing changes for other rows, nor where a column can't be grouped by (a map).
+    """
+    cols = df.columns
+    if set(hashable(df)) != set(cols):
+        return df
+    hot = materialise(df.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > rows).select("__hot"), "hot-keys")
+    n = hot.count()
+    if not n:
+        return df
+    same = df.join(small(hot, n), F.col(key) == F.col("__hot"), "left_semi").groupBy(*[F.col(quoted(c)) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+    same = same.withColumn("__c", F.explode(F.expr(f"sequence(0L, (__n - 1) div {chunk})"))).repartition(F.col(key), F.col("__c"))
+    same = same.withColumn("__copy", F.explode(F.expr(f"sequence(__c * {chunk}, least(__n, (__c + 1) * {chunk}) - 1)")))
+    same = same.withColumn(key, F.when(F.col("__copy") == 0, F.col(key)).otherwise(F.xxhash64(key, "__copy"))).select(*[F.col(quoted(c)) for c in cols])
+    return df.join(small(hot, n), F.col(key) == F.col("__hot"), "left_anti").unionByName(same)
+
+
 def quoted(name: str) -> str:
     """A column name as Spark SQL identifier, dots and backticks and all."""
     return "`" + name.replace("`", "``") + "`"

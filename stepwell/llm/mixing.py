@@ -1,18 +1,21 @@
 """Mixing sources to target weights.
 
 Targets by source come from weights and from a bound on repetition (water-filling). Each source's rows
-are permuted by a keyed hash; their sizes laid end to end in that order form a line, which is taken
-from its start up to the target, in whole rows, and a second time for what a target exceeds the source.
-The taken line is cut into blocks of about ``block_size`` words. A splitting tree deals the sources'
-exact block quotas to output shards: at each node the block counts of all sources are split between
-both halves by a multivariate hypergeometric draw, so every shard is a random sample of the whole mix
-and quotas are met exactly. A shard takes the next blocks of each source's permuted order (blocks are
-disjoint), and its rows are shuffled locally.
+are permuted by a keyed hash; their sizes laid end to end in that order form a line, that goes on with the
+same rows once more for what a target exceeds the source. The line up to the target is cut into blocks of
+equal width, the source's quota. A splitting tree deals the sources' exact block quotas to output shards: at
+each node the block counts of all sources are split between both halves by a multivariate hypergeometric
+draw, so every shard is a random sample of the whole mix and quotas are met exactly. Each shard then draws
+its blocks from the source's blocks in random order (disjoint, as each is dealt once), and its rows are
+shuffled locally. A row is taken as often as its blocks were dealt to a shard.
 
 Running sums are taken in two steps (ranges of the hash, then rows in a range), so a source with a third
-of all rows is spread over many tasks. The driver holds numbers for each source and range.
+of all rows is spread over many tasks; ranges grow in number with the rows. The driver holds numbers for each
+source and the dealt blocks: ``blocks_per_shard`` for each shard, and one for each source at least. Small tables of
+numbers are broadcast up to a fixed number of rows and joined by key beyond (the plan changes, not the result).
 Null sources are a source of their own, rows of size 0 are kept with their source, repeated rows are
-rows of their own, an empty table gives an empty mix.
+rows of their own (very many equal ones are told apart by a number), an empty table gives an empty mix.
+Columns may have any names but those that are added.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashable, quoted
+from .common import hashable, materialise, quoted, small, spread_copies
+from .sharding import hypergeometric
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,13 +73,32 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         rest = int(q.sum())
         for i, x in enumerate(q):  # the multivariate draw, one margin at a time
             rest -= int(x)
-            k = int(rng.hypergeometric(int(x), rest, n)) if x and rest and n else min(n, int(x))
-            left[i], n = k, n - k
+            left[i] = hypergeometric(rng, int(x), rest, n)
+            n -= int(left[i])
         stack += [(lo, mid, left), (mid, hi, q - left)]
     return out
 
 
-def mix(df: DataFrame, source: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, block_size: int = 50_000, rows_per_range: int = 2_000, seed: int = 11) -> DataFrame:
+def quotas(target: list[float], shards: int, blocks_per_shard: int) -> list[int]:
+    """Blocks of each source: in proportion to its target, at least one for a target above 0."""
+    width = sum(target) / (shards * blocks_per_shard)
+    return [max(1, round(t / width)) if t > 0 else 0 for t in target]
+
+
+def deal(quota: list[int], shards: int, seed: int) -> list[tuple[int, int, int]]:
+    """(source, block, shard) of every block: shards draw the tree's numbers of blocks from each source's permuted blocks."""
+    tree, rng = splitting_tree(quota, shards, seed), np.random.default_rng(seed + 1)
+    out = []
+    for i, q in enumerate(quota):
+        out += zip([i] * q, rng.permutation(q).tolist(), np.repeat(np.arange(shards), tree[:, i]).tolist())
+    return out
+
+
+#: What ``mix`` adds to the rows.
+ADDED = ("__size", "__source_size", "__target", "__takes")
+
+
+def mix(df: DataFrame, source: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, blocks_per_shard: int = 64, rows_per_range: int = 2_000, seed: int = 11) -> DataFrame:
     """Each row of ``df`` with the part it plays: __size, __source_size, __target, __takes.
 
     __takes is an array of structs (epoch, block, shard, position): one for each time the mix takes the
@@ -83,61 +106,51 @@ def mix(df: DataFrame, source: str = "source", size: Column | None = None, weigh
     """
     if most > 2:
         raise ValueError("a row is taken twice at most")
+    if clash := set(ADDED) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    spark, names_in = df.sparkSession, df.columns
     size = words(F.col("text")) if size is None else size
-    key = F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in hashable(df)])
-    src = F.col(quoted(source)).cast("string")
-    narrow = df.select(src.alias("s"), size.cast("long").alias("size"))
-    total = {r[0]: (int(r[1]), int(r[2] or 0)) for r in narrow.groupBy("s").agg(F.count("*"), F.sum("size")).collect()}
+    # inside, the columns of df go by place in a struct: any name may come
+    rows = df.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names_in)]).alias("row"), F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in hashable(df)]).alias("key"), size.cast("long").alias("size"), F.col(quoted(source)).cast("string").alias("src"))
+    rows = spread_copies(rows, "key", 4 * rows_per_range)
+    total = {r[0]: (int(r[1]), int(r[2] or 0)) for r in rows.groupBy("src").agg(F.count("*"), F.sum("size")).collect()}
     names = sorted(total, key=source_order)
     target = targets({s: total[s][1] for s in names}, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share, most)
+    quota = quotas([target[s] for s in names], shards, blocks_per_shard)
     # ranges of the hash, a power of two of them for each source
-    bits = {s: min(20, max(0, math.ceil(math.log2(max(1, total[s][0] / rows_per_range))))) for s in names}
-    plan = df.sparkSession.createDataFrame([(s, i, bits[s], total[s][1], float(target[s])) for i, s in enumerate(names)] or [(None, -1, 0, 0, 0.0)], "__s string, __i int, __bits int, __source_size long, __target double")
-    keyed = df.withColumn("__key", key).withColumn("__size", size.cast("long")).withColumn("__s0", src)
-    keyed = keyed.join(F.broadcast(plan), F.col("__s0").eqNullSafe(F.col("__s")), "left").drop("__s", "__s0")
+    bits = [max(0, math.ceil(math.log2(max(1, total[s][0] / rows_per_range)))) for s in names]
+    plan = [(s, i, bits[i], total[s][1], float(target[s]), float(target[s] / max(1, quota[i]))) for i, s in enumerate(names)]
+    sources = spark.createDataFrame(plan or [(None, -1, 0, 0, 0.0, 0.0)], "s string, i int, bits int, source_size long, target double, width double")
+    rows = rows.join(small(sources, len(names)), F.col("src").eqNullSafe(F.col("s"))).drop("s", "src")
     # the range is the top bits of the key, in unsigned order
-    keyed = keyed.withColumn("__range", F.when(F.col("__bits") == 0, F.lit(0)).otherwise(F.expr("cast(shiftrightunsigned(__key, 64 - __bits) as int)")))
-    sums = [(r[0], r[1], int(r[2] or 0)) for r in keyed.groupBy("__i", "__range").agg(F.sum("__size")).collect()]
-    before, run = [], {}
-    for i, r, n in sorted(sums):
-        before.append((i, r, run.get(i, 0)))
-        run[i] = run.get(i, 0) + n
-    starts = df.sparkSession.createDataFrame(before or [(-1, 0, 0)], "__i int, __range int, __before long")
-    order = Window.partitionBy("__i", "__range").orderBy(F.expr("__key ^ (-9223372036854775807L - 1L)"), "__size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = keyed.withColumn("__in", F.coalesce(F.sum("__size").over(order), F.lit(0))).join(_small(starts, len(before)), ["__i", "__range"], "left")
-    at = F.col("__before") + F.col("__in")
-    mid = at + F.col("__size") / 2.0
-    quota = []
-    for s in names:
-        n, t = total[s][1], target[s]
-        quota.append(max(1, math.ceil(t / block_size)) if n else 1)
-    tree = splitting_tree(quota, shards, seed)
-    ends = df.sparkSession.createDataFrame([(i, [int(x) for x in np.cumsum(tree[:, i])]) for i in range(len(names))] or [(-1, [0])], "__i int, __ends array<bigint>")
-    laid = laid.join(_small(ends, len(names)), "__i", "left")
-
-    def take(epoch: int) -> Column:
-        place = at + epoch * F.col("__source_size")
-        block = F.least(F.floor(place / block_size), F.element_at("__ends", -1) - 1).cast("long")
-        shard = F.size(F.filter("__ends", lambda e: e <= block))
-        return F.struct(F.lit(epoch).alias("epoch"), block.alias("block"), shard.alias("shard"), F.xxhash64("__key", F.lit(seed + 1 + epoch)).alias("position"))
-
-    takes = F.filter(F.array(*[F.when(mid + e * F.col("__source_size") < F.col("__target"), take(e)) for e in range(2)]), lambda x: x.isNotNull())
-    return laid.withColumn("__takes", takes).select(*[F.col(quoted(c)) for c in df.columns], "__size", "__source_size", "__target", "__takes")
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only below 100,000 rows of a few numbers each; beyond, Spark joins by key."""
-    return F.broadcast(df) if rows <= 100_000 else df
-
-
-def drawn(mixed: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix itself: a row for each time a row is taken, with shard and position, in the order of the mix.
+    rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(key, 64 - bits)")))
+    before = Window.partitionBy("ri").orderBy("rr").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col("i").alias("ri"), F.col("range").alias("rr")).agg(F.sum("size").alias("n"))
+    starts = materialise(sums.select("ri", "rr", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "mix-ranges")
+    order = Window.partitionBy("i", "range").orderBy(F.expr("key ^ (-9223372036854775807L - 1L)"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = rows.withColumn("in", F.coalesce(F.sum("size").over(order), F.lit(0))).join(small(starts, starts.count()), (F.col("i") == F.col("ri")) & (F.col("range") == F.col("rr")))
+    mid = F.col("before") + F.col("in") + F.col("size") / 2.0
+    dealt = deal(quota, shards, seed)
+    blocks = spark.createDataFrame(dealt or [(-1, -1, -1)], "di int, db long, shard int")
+    takes = []
+    for epoch in range(2):
+        b, got = f"block{epoch}", f"shard{epoch}"
+        laid = laid.withColumn(b, F.when(F.col("width") > 0, F.floor((mid + epoch * F.col("source_size")) / F.col("width"))).otherwise(-1))
+        mine = blocks.select("di", "db", F.col("shard").alias(got))
+        laid = laid.join(small(mine, len(dealt)), (F.col("i") == F.col("di")) & (F.col(b) == F.col("db")), "left").drop("di", "db")
+        takes.append(F.when(F.col(got).isNotNull(), F.struct(F.lit(epoch).alias("epoch"), F.col(b).alias("block"), F.col(got).alias("shard"), F.xxhash64("key", F.lit(seed + 1 + epoch)).alias("position"))))
+    takes_of = F.filter(F.array(*takes), lambda x: x.isNotNull())
+    return laid.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names_in)], *[c.alias(a) for c, a in zip((F.col("size"), F.col("source_size"), F.col("target"), takes_of), ADDED)])
+
+
+def drawn(mixed: DataFrame) -> DataFrame:
+    """The mix itself: a row for each time a row is taken, in the order of the mix, with __shard and __position.
 
     Partitions ascend with (shard, position) and are sorted by it: a shard is a run of rows, shuffled locally.
     A large shard spans several partitions.
     """
-    cols = [c for c in mixed.columns if not c.startswith("__")]
-    rows = mixed.select(*[F.col(quoted(c)) for c in cols], F.explode("__takes").alias("__t"))
-    order = [F.col("__t.shard"), F.col("__t.position")]
+    cols = [c for c in mixed.columns if c not in ADDED]
+    rows = mixed.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.explode("__takes").alias("t"))
+    order = [F.col("t.shard"), F.col("t.position")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return placed.select(*[F.col(quoted(c)) for c in cols], F.col("__t.shard").alias("shard"), F.col("__t.position").alias("position"))
+    return placed.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)], F.col("t.shard").alias("__shard"), F.col("t.position").alias("__position"))

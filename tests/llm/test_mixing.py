@@ -58,13 +58,37 @@ def test_op2_comes_near_its_targets(spark, small):
     assert again == {r["doc_id"]: r for r in got}
 
 
-def test_shards_hold_whole_blocks_of_every_source(spark, small):
+def test_default_shards_are_even(spark):
+    mixed = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    places = rows(mixing.drawn(mixed).groupBy("__shard").agg(F.count("*").alias("n"), F.sum(mixing.words(F.col("text"))).alias("words")))
+    assert {r["__shard"] for r in places} == set(range(16))
+    n, sizes = [r["n"] for r in places], [r["words"] for r in places]
+    assert max(n) < 2 * min(n) and max(sizes) < 2.5 * min(sizes)
+
+
+def test_takes_come_from_the_dealt_blocks(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    mixed = mixing.mix(docs, block_size=2000, shards=4)
-    places = rows(mixing.drawn(mixed, 4).groupBy("shard").agg(F.count("*").alias("n"), F.sum(mixing.words(F.col("text"))).alias("words")))
-    assert {r["shard"] for r in places} == {0, 1, 2, 3}
-    words = [r["words"] for r in places]
-    assert max(words) < 4 * min(words)  # whole documents: the longest has more words than a shard's share varies by
+    whole = {r["doc_id"]: len(r["__takes"]) for r in rows(mixing.mix(docs))}
+    real = mixing.deal
+    monkeypatch.setattr(mixing, "deal", lambda *a: [x for x in real(*a) if x[2] != 3])
+    less = {r["doc_id"]: len(r["__takes"]) for r in rows(mixing.mix(docs))}
+    assert all(less[i] <= n for i, n in whole.items()) and sum(less.values()) < sum(whole.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=6), st.integers(1, 9))
+def test_every_block_is_dealt_once(quota, shards):
+    got = mixing.deal(quota, shards, 3)
+    assert sorted((i, b) for i, b, _ in got) == [(i, b) for i, q in enumerate(quota) for b in range(q)]
+    tree = mixing.splitting_tree(quota, shards, 3)
+    assert all(sum(x[0] == i and x[2] == s for x in got) == tree[s, i] for i in range(len(quota)) for s in range(shards))
+
+
+def test_clashing_names_and_equal_rows(spark):
+    docs = spark.createDataFrame([(i % 3, f"a b {i % 3}", "s", 1, 2, 3) for i in range(300)], "doc_id long, text string, source string, shard int, position int, __x int")
+    got = rows(mixing.drawn(mixing.mix(docs, rows_per_range=4)))
+    assert set(got[0]) == {*docs.columns, "__shard", "__position"}
+    assert sum(3 for _ in got) == pytest.approx(1.5 * 900, abs=3) and max(Counter(r["doc_id"] for r in got).values()) <= 200
 
 
 def test_awkward_rows(spark):

@@ -26,6 +26,32 @@ def test_matrix_means_are_hypergeometric():
     assert abs(draws.var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.25
 
 
+def test_draws_agree_on_both_sides_of_the_bound():
+    for good, bad, n in ((30, 10, 20), (500, 90, 300), (3, 1000, 40)):
+        both = [np.array([sharding.hypergeometric(np.random.default_rng(s), good, bad, n, bound) for s in range(4000)]) for bound in (10**9, 0)]
+        assert abs(both[0].mean() - both[1].mean()) < 5 * both[0].std() / 60 and abs(both[0].std() / both[1].std() - 1) < 0.08
+        assert both[1].min() >= max(0, n - bad) and both[1].max() <= min(good, n)
+    large = [sharding.hypergeometric(np.random.default_rng(s), 3 * 10**10, 10**10, 4000) for s in range(2000)]
+    assert abs(np.mean(large) - 3000) < 3 and abs(np.std(large) / np.sqrt(750) - 1) < 0.08
+    places = sharding.even_sizes(4 * 10**9, 3)
+    got = sharding.communication_matrix([10**9] * 4, places, 1)
+    assert got.sum(axis=0).tolist() == places and got.sum(axis=1).tolist() == [10**9] * 4
+
+
+def test_blocks_and_ranges_grow_with_the_rows(spark):
+    for cells in (1 << 22, 8):  # the second: a matrix that can't grow
+        got = rows(sharding.shard(spark.range(3000), 4, rows_per_block=10, rows_per_range=20, max_cells=cells))
+        assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(750)) for s in range(4))
+
+
+def test_many_equal_rows_are_spread(spark):
+    df = spark.createDataFrame([(i % 2, "same") for i in range(4000)], "doc_id long, text string")
+    got = rows(sharding.shard(df, 5, rows_per_block=32, rows_per_range=50))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == {(0, "same"): 2000, (1, "same"): 2000}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(800)) for s in range(5))
+    assert all(300 < sum(r["doc_id"] for r in got if r["shard"] == s) < 500 for s in range(5))
+
+
 def test_op5_shards(spark, small):
     docs = {r["doc_id"]: r["text"] or "" for r in table(small, "documents")}
     got = rows(queries.op5_sharding(spark, small))
@@ -41,7 +67,7 @@ def test_op5_shards(spark, small):
 
 
 def test_several_blocks_and_chunks(spark):
-    got = rows(sharding.shard(spark.range(5000), 7, rows_per_block=64, rows_per_chunk=50))
+    got = rows(sharding.shard(spark.range(5000), 7, rows_per_block=64, rows_per_range=50))
     counts = Counter(r["shard"] for r in got)
     assert len(got) == 5000 and max(counts.values()) - min(counts.values()) <= 1
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
