@@ -35,19 +35,25 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 HEX_CHARS, BASE64_CHARS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 WINDOW = 20
+#: Counts of at most WINDOW + 1 take five bits; twelve of them fit in a long.
+BITS, PER_LONG = 5, 12
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """Thresholds in bits a character (of at most log2(20) = 4.32), and what is never a secret."""
+    """Thresholds in bits a character (of at most log2(20) = 4.32), and what is never a secret.
+
+    Repeated groups in ``allow`` must be possessive (``(...)++``): Java's engine recurses once for each
+    repetition of any other group, which a long candidate turns into a stack overflow.
+    """
 
     hex_bits: float = 3.0
     base64_bits: float = 3.8
     allow: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
         r"(?i)example|sample|placeholder|changeme|dummy",
-        r"^(?:[A-Za-z]+[-_/])+[A-Za-z]*\d{0,4}$",  # words joined by dashes, paths
-        r"^(?:[A-Za-z]{1,40}\d{1,4}|\d+[A-Za-z]{1,4})$",  # a word with a number
+        r"^(?:[A-Za-z]++[-_/])++[A-Za-z]*+\d{0,4}$",  # words joined by dashes, paths
+        r"^(?:[A-Za-z]{1,40}\d{1,4}|\d++[A-Za-z]{1,4})$",  # a word with a number
     )
 
 
@@ -62,21 +68,34 @@ def found(values: Column, gaps: Column) -> Column:
 
 
 def window_entropy(value: Column, alphabet: str) -> Column:
-    """Highest Shannon entropy (bits) of any ``WINDOW`` characters in a row of ``value``; characters outside count as none."""
+    """Highest Shannon entropy (bits) of any ``WINDOW`` characters in a row of ``value``; characters outside count as none.
+
+    The counts are kept in longs of ``PER_LONG`` counts of ``BITS`` bits each, so a step costs the same however many
+    characters the alphabet has and however long the value is.
+    """
+    longs = -(-len(alphabet) // PER_LONG)
     chars = F.filter(F.transform(F.split(value, ""), lambda c: F.when(c != "", F.instr(F.lit(alphabet), c) - 1)), lambda c: c >= 0)
     weight = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(WINDOW + 2)])
     none = F.array_repeat(F.lit(-1), WINDOW)
     # each character that enters, with the one that leaves as it does
     moves = F.zip_with(chars, F.slice(F.concat(none, chars), 1, F.size(chars)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+    shift = lambda code: (code % PER_LONG) * BITS
+
+    def count(acc: Column, code: Column) -> Column:
+        at = F.get(acc["counts"], F.floor(code / PER_LONG).cast("int"))
+        return F.call_function("shiftright", at, shift(code)).bitwiseAND((1 << BITS) - 1).cast("int")
+
+    def one(code: Column, k: int) -> Column:
+        mine = (code >= k * PER_LONG) & (code < (k + 1) * PER_LONG)
+        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))).otherwise(F.lit(0).cast("long"))
 
     def step(acc: Column, move: Column) -> Column:
         enters, leaves = move["enters"], move["leaves"]
-        n_in = F.get(acc["counts"], enters)
-        n_out = F.get(acc["counts"], leaves)
+        n_in, n_out = count(acc, enters), count(acc, leaves)
         change = F.when(enters == leaves, F.lit(0.0)).otherwise(F.get(weight, n_in + 1) - F.get(weight, n_in) + F.when(leaves >= 0, F.get(weight, n_out - 1) - F.get(weight, n_out)).otherwise(F.lit(0.0)))
         total = acc["sum"] + change
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+        counts = F.array(*[F.get(acc["counts"], F.lit(k)) + one(enters, k) - one(leaves, k) for k in range(longs)])
         best = F.when(acc["n"] >= WINDOW - 1, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"])
         return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"), (acc["n"] + 1).alias("n"))
 

@@ -58,6 +58,37 @@ def test_entropy_spans_and_allow_list(spark):
     assert [[(s.kind, s.start, s.end) for s in x] for x in got] == [[("entropy-base64", 4, 28)], [], [], [], []]
 
 
+def candidates(text, rules=secret_scan.EntropyRules()):
+    """Entropy spans, said directly."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+        v = m[0]
+        if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)) or any(re.search(p, v) for p in rules.allow):
+            continue
+        hexa = re.fullmatch("[0-9a-fA-F]+", v) is not None
+        if entropy(v.lower() if hexa else v) >= (rules.hex_bits if hexa else rules.base64_bits):
+            out.append((m.start(), 3 if hexa else 4, m.end(), secret_scan.KINDS[3 if hexa else 4]))
+    return out
+
+
+def test_op4_added_spans(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in table(sf, "documents")}
+    got, added = rows(queries.op4_secret_scan(spark, sf)), 0
+    for r in got:
+        text = docs[r["doc_id"]]
+        want = sorted(base(text) + candidates(text))
+        added += len(want) > len(base(text))
+        assert r["spans"] == joined(want)
+    assert added
+
+
+@pytest.mark.parametrize("text", ["ab-" * 100_000 + "1", "a/b_" * 50_000, "a1" * 60_000, "x" * 200_000 + "1", "1" * 100_000 + "a", "password=" + "-a" * 60_000])
+def test_very_long_candidates(spark, text):
+    got = rows(secret_scan.scan(spark.createDataFrame([(text,)], "text string")).select(secret_scan.joined(F.col("__spans")).alias("s")))[0]["s"]
+    assert got == joined(sorted(base(text) + candidates(text)))
+
+
 def test_awkward_rows(spark):
     got = secret_scan.scan(edge(spark))
     assert got.count() == len(EDGE) and got.where(F.size("__spans") > 0).isEmpty()
