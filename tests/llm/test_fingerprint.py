@@ -2,8 +2,6 @@
 
 import hashlib
 
-from pyspark.sql import functions as F
-
 from stepwell.llm import fingerprint, queries
 
 from .helpers import EDGE, edge, empty, rows, table
@@ -43,7 +41,17 @@ def test_canonical_forms():
     assert fingerprint.canonical("é") == fingerprint.canonical("é") != fingerprint.canonical("e")
 
 
-def test_texts_that_share_a_digest_are_told_apart(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "a")], "doc_id long, text string")
-    rows_ = docs.select("doc_id", F.lit(fingerprint.digest("a")).alias("fingerprint"))
-    assert rows(fingerprint.number_collisions(rows_.where("doc_id <> 2"), docs.where("doc_id <> 2"))) == rows(rows_.where("doc_id <> 2"))
+def test_texts_that_share_a_digest_are_told_apart(spark):
+    docs = [(i, f"text number {i % 40}") for i in range(80)] + [(100, ""), (101, None)]
+    df = spark.createDataFrame([*docs, (None, "no id"), (None, "other")], "doc_id long, text string")
+    assert not fingerprint.collisions(df, bits=8).isEmpty() and fingerprint.collisions(df).isEmpty()
+    got = rows(fingerprint.edited_fingerprints(df, bits=8))
+    assert len(got) == len(docs) + 2 and any("-" in r["fingerprint"] for r in got)
+    of = {}
+    for r in got:
+        if r["doc_id"] is not None:
+            canon = fingerprint.canonical(dict(docs)[r["doc_id"]])
+            assert of.setdefault(canon, r["fingerprint"]) == r["fingerprint"]
+    assert len(set(of.values())) == len(of)
+    edited = {r["edited_sha256"]: r["edited_fingerprint"] for r in got}
+    assert len(set(edited.values())) == len(edited)
