@@ -10,7 +10,7 @@ a bounded sample that does not grow with the corpus. The fitted numbers (a few M
 RANK) are sent to all tasks; scoring is one pass without shuffles over whole texts.
 
 Null texts are empty and get a score like any text; labels that are null or contradict each other for one id are not
-used; with fewer than two classes every score is the share of class 1 (0.5 if there is none).
+used; of the texts of a repeated id the least is learned from; with fewer than two classes every score is the share of class 1 (0.5 if there is none).
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, worker_state
 
 BUCKETS = 1 << 14
 RANK = 8
+LONG = 64
 MAX_ROWS = 3000
 STATS = ("log_words", "log_chars", "mean_word", "upper", "digit", "sign", "odd_sign", "space", "non_ascii", "distinct", "caps_words", "signed_words", "bar_words", "mean_line", "repeated_lines", "bang_words", "short_lines", "one")
 _SIGN, _ODD = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"#$%&*+<=>@\\^_`{|}~"
@@ -36,7 +37,7 @@ _UPPER, _DIGIT, _WIDE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(rang
 
 
 class Buckets(dict):
-    """Hash bucket by word, of at most ``limit`` words at a time."""
+    """Hash bucket by word, of at most ``limit`` words of ``LONG`` characters at a time."""
 
     def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
@@ -45,13 +46,12 @@ class Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+        out = xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
 
-_KNOWN = Buckets()
-
-
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all words, and the structure statistics (about 0 to 1 each)."""
     text = text or ""
@@ -65,7 +65,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         math.log1p(n) / 10, math.log1p(chars) / 12, share(in_words, n) / 10, share(count(_UPPER), chars), share(count(_DIGIT), chars), share(signs, chars), share(odd, chars), share(chars - in_words, chars), share(count(_WIDE), chars),
         share(len(set(words)), n), share(sum(map(str.isupper, words)), n), share(odd, n), share(text.count("|"), n), min(share(chars, len(lines)) / 400, 3.0), share(len(lines) - len(set(lines)), len(lines)), share(text.count("!!"), n), share(sum(len(x) < 30 for x in lines), len(lines)), 1.0,
     ])
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.int32, n), stats
+    return np.fromiter(map(worker_state("word buckets", Buckets).__getitem__, words), np.int32, n), stats
 
 
 class FactorisationMachine:
@@ -86,10 +86,14 @@ class FactorisationMachine:
         squares = (vw**2).sum(axis=0) / n**2 + (z**2) @ self.vs**2
         return self.bias + self.w[words].sum() / n + z @ self.ws + 0.5 * float((s**2 - squares).sum()), s
 
+    def standard(self, stats: np.ndarray) -> np.ndarray:
+        """Standardised statistics, within what training has seen."""
+        return np.clip((stats - self.mean) / self.scale, -5, 5)
+
     def score(self, words: np.ndarray, stats: np.ndarray) -> float:
         if self.constant is not None:
             return self.constant
-        y, _ = self._parts(words, (stats - self.mean) / self.scale)
+        y, _ = self._parts(words, self.standard(stats))
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, y))))
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 25, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> "FactorisationMachine":
@@ -101,7 +105,7 @@ class FactorisationMachine:
         stats = np.array([s for _, s in rows])
         self.mean, self.scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
         self.mean[-1], self.scale[-1] = 0.0, 1.0
-        z = np.clip((stats - self.mean) / self.scale, -5, 5)
+        z = self.standard(stats)
         bags = [np.unique(w, return_counts=True) for w, _ in rows]
         gw, gs, gv, gvs, gb = np.full(BUCKETS, 1e-6), np.full(len(STATS), 1e-6), np.full((BUCKETS, RANK), 1e-6), np.full((len(STATS), RANK), 1e-6), 1e-6
         rng = np.random.default_rng(seed)
@@ -138,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = ids.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
     ids = ids.where(F.crc32(F.col("i").cast("string")) % 5 != 0).orderBy(F.xxhash64("i"), "i").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "i")
+    texts = texts.groupBy("i", "y").agg(F.min("text").alias("text"))  # of an id with several texts, the least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -147,12 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = texts.select("i", "text", "y").mapInArrow(run, "i long, y int, words binary, stats array<double>").toLocalIterator()
     got = sorted(((r[0], r[1], np.frombuffer(bytes(r[2]), "<u2").astype(np.int32), np.array(r[3])) for r in rows), key=lambda r: r[0])
-    seen, keep = set(), []
-    for r in got:
-        if r[0] not in seen:
-            seen.add(r[0])
-            keep.append(r)
-    return FactorisationMachine().fit([(r[2], r[3]) for r in keep], np.array([r[1] for r in keep], dtype=float))
+    return FactorisationMachine().fit([(r[2], r[3]) for r in got], np.array([r[1] for r in got], dtype=float))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

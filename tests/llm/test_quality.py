@@ -30,6 +30,30 @@ def test_op7_held_out_accuracy(spark):
     assert right >= 0.9
 
 
+def test_scores_equal_the_pairwise_sum(spark, small):
+    """Every score of the table against the model's definition: all pairs, one by one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    fm = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r["doc_id"]: r["__score"] for r in rows(quality.score(docs, fm))}
+    for r in table(small, "documents"):
+        words, stats = quality.features(r["text"])
+        if len(words) > 400:
+            continue
+        z = np.clip((stats - fm.mean) / fm.scale, -5, 5)
+        x = np.concatenate([np.full(len(words), 1 / max(1, len(words))), z])
+        v = np.concatenate([fm.v[words], fm.vs]) * x[:, None]
+        pairs = v @ v.T
+        y = fm.bias + float(x @ np.concatenate([fm.w[words], fm.ws])) + (pairs.sum() - np.trace(pairs)) / 2
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(y, -30, 30))), abs=1e-9)
+
+
+def test_repeated_labelled_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a a a")] * 50 + [(2, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    once = quality.train(docs.distinct().where("text is null or text <> 'b'"), labels)
+    assert (quality.train(docs, labels).w == once.w).all()
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     model = quality.train(edge(spark), labels)
