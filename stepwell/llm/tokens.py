@@ -30,7 +30,7 @@ _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ʯ]", r"[!-/:-@\[-`{-~]"
 #: Stands before a chunk that no space precedes.
 _MARK = "\x02"
 #: Most known chunks, their bytes, and the bytes of the longest one kept.
-CHUNKS, BYTES, LONG = 500_000, 16 << 20, 64
+CHUNKS, BYTES, LONG = 400_000, 16 << 20, 64
 
 
 def _byte_letters() -> dict[int, str]:
