@@ -5,15 +5,17 @@ distance over d * d is chi-square distributed with ``DIMS`` degrees of freedom,
 than d_k lies within projected distance sqrt(q) * d_k with probability ``prob`` or more (q: the
 quantile). Neighbours are verified in order of projected distance until the next one lies beyond that.
 
-A kd-tree over the projected space, fitted on a bounded sample, deals all rows to cells; a cell with many rows (say, of
-one very common vector) is split further by a hash of the id, so a group has a bounded size. Each query
+A kd-tree over the projected space deals all rows to cells: as many as the rows ask for, up to ``MAX_CELLS``, fitted on
+``PER_CELL`` projected rows a cell. A cell with more than ``GROUP`` rows (of one very common vector, or where cells have
+reached their number) is split further by a hash of the id into groups, so a task holds a bounded number of
+rows; its visiting queries come in chunks of at most ``GROUP``. Each query
 first searches its own cell, which bounds d_k, then visits the cells that the stopping test doesn't
 exclude; inside a group a local kd-tree serves leaves in order of projected distance. Distances are exact:
 original vectors, double precision.
 
 Vectors null, zero, of another than the most common length, or with null or non-finite components take
-no part; with few candidates all are returned; repeated ids are candidates of their own; an empty table
-gives no rows; other columns are ignored.
+no part; with few candidates all are returned; repeated ids are candidates of their own, while rows that share a
+query's id are one query (its least vector) and no candidates of it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, small
 
-DIMS, PROB, SAMPLE, ROWS_PER_CELL, MAX_CELLS, LEAF = 10, 0.995, 20_000, 1024, 1024, 64
+DIMS, PROB, ROWS_PER_CELL, MAX_CELLS, LEAF = 20, 0.95, 1024, 1 << 14, 16
+#: Projected rows that a cell's bounds are fitted on, and most rows of a group.
+PER_CELL, GROUP = 16, 1 << 14
 
 
 def chi2_quantile(prob: float, dims: int) -> float:
@@ -100,6 +104,7 @@ class LocalTree:
             stack += [by[len(by) // 2 :], by[: len(by) // 2]]
         o = np.concatenate(order)
         self.ids, self.vectors, self.projected = ids[o], vectors[o], projected[o]
+        self.looked_at = 0  # rows verified so far
         self.lo = np.minimum.reduceat(self.projected, self.bounds[:-1], axis=0)
         self.hi = np.maximum.reduceat(self.projected, self.bounds[:-1], axis=0)
 
@@ -120,7 +125,7 @@ class LocalTree:
             d = np.sqrt(((self.vectors[rows] - q) ** 2).sum(axis=1))
             ids, dist = np.concatenate([ids, self.ids[rows]]), np.concatenate([dist, d])
             best = np.lexsort((ids, dist))[:k]
-            ids, dist = ids[best], dist[best]
+            ids, dist, self.looked_at = ids[best], dist[best], self.looked_at + len(rows)
             if len(dist) == k:
                 limit = min(limit, float(dist[-1]))
         return ids, dist
@@ -147,14 +152,22 @@ def nearest(vectors: DataFrame, query: Column | None = None, k: int = 10, id_col
     query = F.col("vec_id") % 100 == 0 if query is None else query
     rows = usable(vectors, id_col, vec_col)
     out = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    if not len(sample):
+    total = rows.count()
+    if not total:
         return vectors.sparkSession.createDataFrame([], out)
-    width = len(sample[0])
+    width = len(rows.first()["v"])
     directions = np.random.default_rng(seed).standard_normal((width, dims))
-    total = rows.count()
-    depth = max(0, min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(max(1, total / rows_per_cell)))))
-    cells, quantile = Cells(_matrix(sample, width) @ directions, depth), chi2_quantile(prob, dims)
+    depth = max(0, min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(total / rows_per_cell))))
+    # a hash of the id picks the rows that the cells are fitted on: all of few rows, and never more than the limit
+    asked = PER_CELL << depth
+    picked = rows.where(F.xxhash64("vec_id", F.lit(seed)) % max(1, total // (2 * asked)) == 0).limit(2 * asked).select("v")
+
+    def projected(batches):  # noqa: ANN001, ANN202
+        for b in slices(batches, 4096):
+            yield pa.record_batch([pa.array((_matrix(b.column(0), width) @ directions).astype(np.float32).ravel())], names=["p"])
+
+    sample = picked.mapInArrow(projected, "p float").toArrow()["p"].to_numpy().reshape(-1, dims).astype(float)
+    cells, quantile = Cells(sample, depth), chi2_quantile(prob, dims)
 
     def placed(batches):  # noqa: ANN001, ANN202
         for b in slices(batches, 4096):
@@ -163,15 +176,15 @@ def nearest(vectors: DataFrame, query: Column | None = None, k: int = 10, id_col
 
     data = rows.withColumn("is_query", query).mapInArrow(placed, "vec_id long, v array<double>, cell int, is_query boolean")
     counts = {r[0]: r[1] for r in data.groupBy("cell").count().collect()}
-    parts = {c: max(1, math.ceil(n / (2 * rows_per_cell))) for c, n in counts.items()}
+    parts = {c: math.ceil(n / GROUP) for c, n in counts.items()}
     first, run = {}, 0
     for c in sorted(parts):
         first[c], run = run, run + parts[c]
     groups = vectors.sparkSession.createDataFrame([(c, first[c], parts[c]) for c in parts], "cell int, first int, parts int")
-    data = data.join(F.broadcast(groups), "cell").withColumn("grp", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    data = data.join(small(groups, len(parts)), "cell").withColumn("grp", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     data = materialise(data.select("grp", "vec_id", "v", "cell", "is_query"), "ann-rows")
     base = data.select("grp", "vec_id", "v")
-    queries = data.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cell")
+    queries = data.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "cell")).alias("x")).select("query_id", F.col("x.v").alias("q"), F.col("x.cell").alias("cell"))
     found_schema = "query_id long, vec_id long, score double"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -188,12 +201,18 @@ def nearest(vectors: DataFrame, query: Column | None = None, k: int = 10, id_col
         cols = [np.concatenate(a) if a else np.empty(0, t) for a, t in zip(got, (np.int64, np.int64, np.float64))]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    def visit(asked: DataFrame) -> DataFrame:
-        """``asked``: query_id, q, bound, cell; one search for each group of the cell."""
-        sent = asked.join(F.broadcast(groups), "cell").withColumn("grp", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)))
-        return base.groupBy("grp").cogroup(sent.select("grp", "query_id", "q", "bound").groupBy("grp")).applyInArrow(search, found_schema)
-
-    home = materialise(visit(queries.withColumn("bound", F.lit(1e300))), "ann-home")
+    def visit(asked: DataFrame, name: str) -> DataFrame:
+        """``asked``: query_id, q, bound, cell; one search for each group of the cell and chunk of its queries."""
+        sent = asked.join(small(groups, len(parts)), "cell").withColumn("grp", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)))
+        sent = materialise(sent.select("grp", "query_id", "q", "bound"), name)
+        chunks = sent.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
+        chunks = small(materialise(chunks, f"{name}-chunks"), run)
+        sent = sent.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        held = base.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        held = held.select("grp", "chunk", "vec_id", "v").groupBy("grp", "chunk")
+        return held.cogroup(sent.select("grp", "chunk", "query_id", "q", "bound").groupBy("grp", "chunk")).applyInArrow(search, found_schema)
+
+    home = materialise(visit(queries.withColumn("bound", F.lit(1e300)), "ann-asked-home"), "ann-home")
     bounds = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.element_at(F.slice(F.array_sort(F.collect_list("score")), 1, k), -1)).alias("bound"))
 
     def others(batches):  # noqa: ANN001, ANN202
@@ -209,6 +228,6 @@ def nearest(vectors: DataFrame, query: Column | None = None, k: int = 10, id_col
             yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate(cell), pa.int32())], names=["query_id", "q", "bound", "cell"])
 
     known = queries.join(bounds, "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(1e300)).alias("bound"), "cell")
-    away = visit(known.mapInArrow(others, "query_id long, q array<double>, bound double, cell int"))
+    away = visit(known.mapInArrow(others, "query_id long, q array<double>, bound double, cell int"), "ann-asked")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return home.unionByName(away).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stepwell.llm import ann, queries
 
@@ -41,6 +42,44 @@ def test_op3_recall(spark, small):
         assert [(r["score"], r["vec_id"]) for r in own] == sorted((r["score"], r["vec_id"]) for r in own)
 
 
+def test_op3_recall_on_a_larger_table(spark):
+    """Several cells; and the stopping test leaves most rows of a larger table alone."""
+    sf = "/root/testdata/sf0.1"
+    vectors = [(r["vec_id"], r["embedding"]) for r in table(sf, "embeddings")]
+    want = brute(vectors, {i for i, _ in vectors if i % 100 == 0})
+    got = rows(queries.op3_ann(spark, sf))
+    assert len(got) == sum(map(len, want.values())) and recall(got, want) >= 0.92
+
+
+def test_the_stopping_test_prunes():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    w = rng.normal(size=(64, ann.DIMS))
+    tree, found = ann.LocalTree(np.arange(len(x)), x, x @ w), 0
+    for i in range(0, 2000, 100):
+        ids, _ = tree.search(i, x[i], x[i] @ w, 10, ann.chi2_quantile(ann.PROB, ann.DIMS), 1e300)
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        found += len(set(ids) & set(np.argsort(d)[:10]))
+    assert found >= 0.9 * 200 and tree.looked_at < 0.5 * 20 * len(x)
+
+
+def test_repeated_query_ids_and_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(1, 600)] + [(100, [9.0] * 8), (100, [9.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "GROUP", 3)
+    got = rows(ann.nearest(df, F.col("vec_id") % 20 == 0, dims=8, prob=0.9999))
+    firsts = {}
+    for i, v in sorted(vectors):
+        firsts.setdefault(i, v)
+    assert {r["query_id"] for r in got} == set(range(20, 600, 20))
+    for q in (100, 200):
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        d = sorted((float(np.sqrt(((np.array(v) - firsts[q]) ** 2).sum())), i) for i, v in vectors if i != q)[:10]
+        assert len(own) == 10 and [r["vec_id"] for r in own] == [i for _, i in d]
+
+
 def test_many_cells_keep_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 24)) * 3
