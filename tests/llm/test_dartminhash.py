@@ -1,4 +1,6 @@
-"""Near-duplicate classes against brute force over all pairs."""
+"""Near-duplicate classes against brute force over all pairs, similarity weighted by how often shingles occur."""
+
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +11,8 @@ from .helpers import EDGE, edge, empty, rows, table
 
 
 def brute(docs, similarity=0.8):
-    sets = [(i, set(dartminhash.shingles(t)[0].tolist())) for i, t in docs]
+    sets = [(i, Counter(dict(zip(*(x.tolist() for x in dartminhash.shingles(t)))))) for i, t in docs]
+    size = {i: s.total() for i, s in sets}
     label = {i: i for i, _ in sets}
 
     def top(x):
@@ -19,9 +22,9 @@ def brute(docs, similarity=0.8):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                both = len(a & b)
-                if (not a and not b) or both >= similarity * (len(a) + len(b) - both):
+            if min(size[i], size[j]) >= similarity * max(size[i], size[j]):
+                both = (a & b).total()
+                if (not a and not b) or both >= similarity * (size[i] + size[j] - both):
                     x, y = sorted((top(i), top(j)))
                     label[y] = x
     return {i: top(i) for i, _ in sets}
@@ -60,6 +63,22 @@ def test_chains_stars_and_short_texts(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows(dartminhash.near_duplicates(df))} == brute(docs)
 
 
+def test_weights_count(spark):
+    """Texts with equal sets of shingles, but not as often: less similar than their sets."""
+    line = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{line} " * 10), (2, f"{line} " * 11), (3, f"{line} " * 30), (4, f"{line} " * 28 + "end"), (5, f"{line} " * 2)]
+    got = {r["doc_id"]: r["class_id"] for r in rows(dartminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == brute(docs) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_unlike_texts_of_one_id(spark):
+    docs = [(1, shifted(50, 0)), (2, shifted(50, 0)), (2, shifted(50, 40)), (3, shifted(50, 40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [{r["doc_id"]: r["class_id"] for r in rows(dartminhash.near_duplicates(df.repartition(n)))} for n in (1, 4)]
+    least = min(docs[1:3], key=lambda d: dartminhash.set_digest(dartminhash.shingles(d[1])))
+    assert got[0] == got[1] == brute([docs[0], least, docs[3]])
+
+
 def test_awkward_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in rows(dartminhash.near_duplicates(edge(spark)))}
     assert got == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5, 6: 6, 8: 2}
