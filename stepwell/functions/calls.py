@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 #: Status by HTTP code where the hundreds don't decide.
 BY_CODE = {401: "access_denied", 402: "access_denied", 403: "access_denied", 404: "success", 405: "bad_request", 406: "bad_request", 407: "access_denied", 408: "timeout", 429: "throttled", 503: "unavailable", 511: "access_denied"}
-#: Status by exception, of which the first that fits counts.
-BY_EXCEPTION = (("SSLException", "access_denied"), ("SSLHandshakeException", "access_denied"), ("SocketTimeoutException", "timeout"), ("TimeoutException", "timeout"), ("IOException", "connection_error"), ("ConnectException", "connection_error"), ("UnknownHostException", "connection_error"), ("IllegalArgumentException", "bad_request"), ("IllegalStateException", "bad_request"))
+#: Status by exception class, of which the first that is in the class chain counts.
+BY_EXCEPTION = (("SSLException", "access_denied"), ("SocketTimeoutException", "timeout"), ("TimeoutException", "timeout"), ("IOException", "connection_error"), ("IllegalArgumentException", "bad_request"), ("IllegalStateException", "bad_request"))
+#: Subclasses in the JDK of those classes.
+SUBCLASSES = {
+    "SSLException": "SSLHandshakeException SSLKeyException SSLPeerUnverifiedException SSLProtocolException",
+    "IOException": "AccessDeniedException AsynchronousCloseException AtomicMoveNotSupportedException BindException ChangedCharSetException CharacterCodingException CharConversionException ClosedByInterruptException ClosedChannelException ConnectException DirectoryNotEmptyException EOFException FileAlreadyExistsException FileLockInterruptionException FileNotFoundException FileSystemException FileSystemLoopException HttpConnectTimeoutException HttpRetryException HttpTimeoutException IIOException InterruptedByTimeoutException InterruptedIOException InvalidClassException InvalidObjectException InvalidPropertiesFormatException JarException JMXProviderException JMXServerErrorException MalformedInputException MalformedURLException NoRouteToHostException NoSuchFileException NotActiveException NotDirectoryException NotLinkException NotSerializableException ObjectStreamException OptionalDataException PortUnreachableException ProtocolException RemoteException SaslException SocketException StreamCorruptedException SyncFailedException UTFDataFormatException UnknownHostException UnknownServiceException UnmappableCharacterException UnsupportedEncodingException WebSocketHandshakeException WriteAbortedException ZipException",
+    "IllegalArgumentException": "IllegalChannelGroupException IllegalCharsetNameException IllegalFormatException IllegalSelectorException IllegalThreadStateException InvalidKeyException InvalidParameterException InvalidPathException NumberFormatException PatternSyntaxException ProviderMismatchException UnresolvedAddressException UnsupportedAddressTypeException UnsupportedCharsetException",
+    "IllegalStateException": "AcceptPendingException AlreadyBoundException AlreadyConnectedException CancellationException CancelledKeyException ClosedDirectoryStreamException ClosedFileSystemException ClosedSelectorException ClosedWatchServiceException ConnectionPendingException FormatterClosedException IllegalBlockingModeException InvalidMarkException NoConnectionPendingException NonReadableChannelException NonWritableChannelException NotYetBoundException NotYetConnectedException OverlappingFileLockException ReadPendingException ShutdownChannelGroupException WritePendingException",
+}
 STATUSES = ("success", "bad_request", "unexpected_error", "connection_error", "unavailable", "throttled", "timeout", "cancelled", "access_denied", "application_error")
 
 def status_of_code(code: Column, standard: bool = False) -> Column:
@@ -21,12 +28,23 @@ def status_of_code(code: Column, standard: bool = False) -> Column:
     return out.when(code < 100, "unexpected_error").when(code < 400, "success").when(code < 500, "bad_request").when(code.isNotNull(), "unexpected_error")
 
 
-def status_of_exception(name: Column) -> Column:
-    """Status of an exception by its simple class name."""
-    simple = F.element_at(F.split(name, r"[.$]"), -1)
-    out = None
+def simple_name(name: Column) -> Column:
+    return F.element_at(F.split(name, r"[.$]"), -1)
+
+
+def status_of_exception(name: Column, chain: Column | None = None) -> Column:
+    """Status of an exception by its class, also where that is a subclass of a known one.
+
+    ``chain``: array of the names of its superclasses, for classes that aren't in the JDK.
+    """
+    simple, out = simple_name(name), None
+    above = F.transform(F.coalesce(chain, F.array().cast("array<string>")), simple_name) if chain is not None else None
     for known, status in BY_EXCEPTION:
-        out = F.when(simple == known, status) if out is None else out.when(simple == known, status)
+        names = [known, *SUBCLASSES.get(known, "").split()]
+        hit = simple.isin(*names)
+        if above is not None:
+            hit = hit | F.arrays_overlap(above, F.array(*map(F.lit, names)))
+        out = F.when(hit, status) if out is None else out.when(hit, status)
     return out.when(name.isNotNull(), "unexpected_error")
 
 
@@ -35,7 +53,8 @@ def result_of(status: Column) -> Column:
 
 
 def attempt_of(number: Column) -> Column:
-    return F.when(number == 0, "initial").when(number == 1, "second").when(number >= 2, "third_up").otherwise("unknown")
+    """Attempts are counted from 1."""
+    return F.when(number == 1, "initial").when(number == 2, "second").when(number >= 3, "third_up").otherwise("unknown")
 
 
 def region_of(zone: Column) -> Column:
@@ -55,12 +74,12 @@ def derived(log: DataFrame) -> DataFrame:
     have = set(log.columns)
     col = lambda c, kind="string": F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
     code = valid_code(col("http_status", "int"))
-    simple = F.element_at(F.split(col("exception"), r"[.$]"), -1)
+    simple = simple_name(col("exception"))
     status = F.coalesce(col("status"), status_of_exception(col("exception")), F.when(code > 0, status_of_code(code)), F.lit("success"))
     group = server_group(col("asg"))
     return log.withColumns({
         "http_status": code, "status": status, "result": F.coalesce(col("result"), result_of(status)), "status_detail": F.coalesce(col("status_detail"), simple), "http_method": F.lower(F.coalesce(col("http_method"), F.lit("unknown"))),
-        "app": F.coalesce(col("app"), group["app"]), "cluster": F.coalesce(col("cluster"), group["cluster"]), "region": F.coalesce(col("region"), region_of(col("zone"))), "attempt": attempt_of(col("attempt", "int")), "endpoint": F.coalesce(col("endpoint"), F.lit("unknown")),
+        "app": F.coalesce(col("app"), group["app"]), "cluster": F.coalesce(col("cluster"), group["cluster"]), "region": F.coalesce(col("region"), region_of(col("zone"))), "attempt": attempt_of(F.coalesce(col("attempt", "int"), F.lit(1))), "endpoint": F.coalesce(col("endpoint"), F.lit("unknown")),
     })
 
 

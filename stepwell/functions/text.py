@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Host segments that are kept though they look random.
+#: Host segments that are kept though they look random; names of a caller's own systems go in ``allowed``.
 HOST_SEGMENTS = (
-    "dbms", "ftlbknd", "graphql", "http", "http1", "http2", "mtls", "nccp", "nflx", "nrdp", "nrdpv6", "www2", "af-south-1", "ap-east-1", "ap-northeast-1", "ap-northeast-2", "ap-northeast-3", "ap-south-1", "ap-south-2",
+    "dbms", "graphql", "http", "http1", "http2", "mtls", "www2", "af-south-1", "ap-east-1", "ap-northeast-1", "ap-northeast-2", "ap-northeast-3", "ap-south-1", "ap-south-2",
     "ap-southeast-1", "ap-southeast-2", "ap-southeast-3", "ap-southeast-4", "ca-central-1", "ca-west-1", "eu-central-1", "eu-central-2", "eu-north-1", "eu-south-1", "eu-south-2", "eu-west-1", "eu-west-2", "eu-west-3",
     "fips.ca-central-1", "fips.ca-west-1", "fips.us-east-1", "fips.us-east-2", "fips.us-west-1", "fips.us-west-2", "il-central-1", "me-central-1", "me-south-1", "sa-east-1", "us-east-1", "us-east-2", "us-gov-east-1",
     "us-gov-west-1", "us-west-1", "us-west-2",
@@ -78,7 +78,7 @@ def server_group(asg: Column) -> dict[str, Column]:
 
         def step(acc: Column, s: Column) -> Column:
             on = acc["on"] & s.rlike(r"^x[1-9].")
-            return F.struct(on.alias("on"), F.when(on & s.rlike(f"^x{n}[^0-9]"), F.substring(s, 3, 1 << 20)).otherwise(acc["value"]).alias("value"))
+            return F.struct(on.alias("on"), F.when(on & s.rlike(f"^x{n}[^0-9]"), F.substr(s, F.lit(3))).otherwise(acc["value"]).alias("value"))
 
         return F.aggregate(F.split(F.coalesce(detail, F.lit("")), "-"), none, step, lambda acc: acc["value"])
 
@@ -90,7 +90,7 @@ def server_group(asg: Column) -> dict[str, Column]:
 
 def decapitalized(v: Column) -> Column:
     """First letter in lower case, unless the first two are capitals."""
-    return F.when(v.rlike("^[A-Z]{2}"), v).otherwise(F.concat(F.lower(F.substring(v, 1, 1)), F.substring(v, 2, 1 << 20)))
+    return F.when(v.rlike("^[A-Z]{2}"), v).otherwise(F.concat(F.lower(F.substring(v, 1, 1)), F.substr(v, F.lit(2))))
 
 
 def substitute(pattern: str, attribute: Callable[[str], Column]) -> Column:

@@ -67,7 +67,7 @@ def rollup_in_order(df: DataFrame, value: str, n: int, order: list[str], groups:
 
 def is_ip(value: Column) -> Column:
     """IPv4 or a bracketed address."""
-    return value.rlike(IPV4) | value.startswith("[")
+    return value.rlike(IPV4) | (value.startswith("[") & value.endswith("]"))
 
 
 def names_and_ips(df: DataFrame, value: str, n: int, order: list[str], out: str = "limited") -> DataFrame:

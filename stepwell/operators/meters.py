@@ -123,8 +123,10 @@ def interval_counter(df: DataFrame, ids: list[str], now_ms: int, ts: str = "ts_m
 
 
 def alive(df: DataFrame, ids: list[str], now_ms: int, ttl_ms: int = 900_000, ts: str = "ts_ms") -> DataFrame:
-    """Rows of meters updated within ``ttl_ms``."""
-    return df.withColumn("__last", F.max(ts).over(Window.partitionBy(*ids))).where(F.lit(now_ms) - F.col("__last") <= ttl_ms).drop("__last")
+    """Rows of meters updated within ``ttl_ms``: the last updates are aggregated first, then rows are kept by their id."""
+    last = df.groupBy(*[F.col(i).alias(f"__{n}") for n, i in enumerate(ids)]).agg(F.max(ts).alias("__last")).where(F.lit(now_ms) - F.col("__last") <= ttl_ms)
+    same = [F.col(i).eqNullSafe(F.col(f"__{n}")) for n, i in enumerate(ids)]
+    return df.join(last, same, "left_semi")
 
 
 def polled(df: DataFrame, ids: list[str], value: str = "value") -> DataFrame:

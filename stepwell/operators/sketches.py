@@ -47,7 +47,7 @@ def percentiles(counts: DataFrame, ids: list[str], wanted: list[float], index: s
     """ids and percentiles (array, in the order wanted) by linear interpolation inside a bucket.
 
     The lower end is that of the bucket before, empty or not. Past the last count the result is the
-    largest long (``longs``), or the last bucket that isn't empty. Counts meet per id in an array of at most 276.
+    largest long (``longs``), or the last bucket that isn't empty. Percentile 0 is 0. Counts meet per id in an array of at most 276.
     """
     usable = F.col(count).cast("double")
     rows = counts.where((usable > 0) & (usable < float("inf")) & ~F.isnan(usable))
@@ -57,6 +57,8 @@ def percentiles(counts: DataFrame, ids: list[str], wanted: list[float], index: s
     total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["__n"])
 
     def one(p: float) -> Column:
+        if p <= 0:
+            return F.lit(0.0)  # reached before the first bucket
         zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("prev"), F.lit(None).cast("double").alias("out"))
 
         def step(a: Column, x: Column) -> Column:

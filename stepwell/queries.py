@@ -16,7 +16,7 @@ from .operators.aggregate import evaluate
 from .plans import regex
 from .plans.compile import Series, boolean, found, wide
 from .sources import sinks
-from .sources.tables import attempts, millis, to_measurements
+from .sources.tables import attempts, log_counts, millis, to_measurements, unpivoted
 from .streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,9 +438,9 @@ def scalar_http_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), calls.status_of_code(code).alias("status"))
 
 
-@registered("select status, result, attempt, count(*) as n from (select case when s in (500) then 'unexpected_error' when s = 429 then 'throttled' else 'success' end as status, case when s = 200 then 'success' else 'failure' end as result, case a when 0 then 'initial' when 1 then 'second' else 'third_up' end as attempt from (select case event_type when 'error' then 500 when 'click' then 429 else 200 end as s, user_id % 4 as a from events)) group by 1, 2, 3")
+@registered("select status, result, attempt, count(*) as n from (select case when s in (500) then 'unexpected_error' when s = 429 then 'throttled' else 'success' end as status, case when s = 200 then 'success' else 'failure' end as result, case when a is null or a = 1 then 'initial' when a = 2 then 'second' when a >= 3 then 'third_up' else 'unknown' end as attempt from (select case event_type when 'error' then 500 when 'click' then 429 else 200 end as s, case when event_id % 7 > 0 then user_id % 5 end as a from events)) group by 1, 2, 3")
 def calls_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "click", 429).otherwise(200).alias("http_status"), (F.col("user_id") % 4).alias("attempt"))
+    log = read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "click", 429).otherwise(200).alias("http_status"), F.when(F.col("event_id") % 7 > 0, F.col("user_id") % 5).alias("attempt"))
     return calls.derived(log).groupBy("status", "result", "attempt").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -507,14 +507,105 @@ def filter_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("name", F.col("tags")["type"].alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("select 1704067200000 + k * 86400000 as timestamp, sub_id, type, value from (select ((epoch_us(ts) // 1000) - 1704067200000 + 86399999) // 86400000 as k, 'by' as sub_id, event_type as type, round(sum(value), 2) as value from events group by 1, 2, 3 union all select ((epoch_us(ts) // 1000) - 1704067200000 + 86399999) // 86400000, 'sum', null, round(sum(value), 2) from events group by 1)")
+_DAILY = f"r as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, sum(amount) / 3600 as v from {_EVENTS} where amount > 0 group by 1, 2), d as (select event_type, ((t + {DAY - 1}) // {DAY}) * {DAY} as ts, sum(v) / 24 as v from r group by 1, 2)"
+_PEAKS = f"g as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, max(amount) as v from {_EVENTS} group by 1, 2), p as (select event_type, ((t + {6 * HOUR - 1}) // {6 * HOUR}) * {6 * HOUR} as ts, max(v) as v from g group by 1, 2)"
+
+
+@registered(f"with {_DAILY}, {_PEAKS} select ts as timestamp, 'by' as sub_id, event_type as type, null::varchar as region, round(v * 86400, 4) as value from d union all select ts, 'total', null, null, round(sum(v) * 86400, 4) from d group by 1 union all select ts, 'region', null, 'r1', round(sum(v) * 86400, 4) from d group by 1 union all select ts, 'peak', event_type, null, round(v * 86400, 4) from p")
 def subscriptions_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events_series(spark, sf_dir).withColumn("ts_ms", consolidate.interval_end(F.col("ts_ms"), DAY))
-    subs = pipeline.due([{"id": "by", "expression": "name,event,:eq,:sum,(,type,),:by", "frequency": DAY}, {"id": "sum", "expression": ":true,:sum", "frequency": DAY}, {"id": "bad", "expression": "a,:nosuch", "frequency": DAY}, {"id": "odd", "expression": ":true,:sum", "frequency": DAY + 1}], DAY)
-    return pipeline.evaluated(rows, subs).select("timestamp", "sub_id", F.col("tags")["type"].alias("type"), F.round("value", 2).alias("value"))
+    """Hourly rates and peaks under subscriptions of a day and of six hours: consolidated by series, then aggregated."""
+    rows = event_updates(spark, sf_dir)
+    series = lambda df, name, kind: df.select(F.lit(name).alias("name"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("statistic"), F.lit(kind)).alias("tags"), "ts_ms", "value")
+    points = series(meters.counter(rows, ["event_type"], HOUR), "events", "count").unionByName(series(meters.max_gauge(rows, ["event_type"], HOUR), "peak", "gauge"))
+    subs = [("by", "name,events,:eq,:sum,(,type,),:by", DAY), ("total", "name,events,:eq,:sum", DAY), ("region", "region,r1,:eq,name,events,:eq,:and,:sum,(,region,),:by", DAY), ("peak", "name,peak,:eq,:max,(,type,),:by", 6 * HOUR), ("bad", "a,:nosuch", DAY), ("odd", ":true,:sum", DAY + 1)]
+    due = pipeline.due([{"id": i, "expression": e, "frequency": f} for i, e, f in subs], HOUR)
+    got = pipeline.evaluated(points, due, HOUR, common={"region": "r1"})
+    return got.select("timestamp", "sub_id", F.col("tags")["type"].alias("type"), F.when(F.col("sub_id") == "region", F.col("tags")["region"]).alias("region"), F.round(F.col("value") * 86400, 4).alias("value"))
+
+
+@registered("select 'u' || user_id as query_id, event_id from events where event_type <> 'click' and user_id < 200")
+def match_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred stored queries, found through the inverted index."""
+    stored = {f"u{u}": f"user,{u},:eq,type,click,:eq,:not,:and" for u in range(200)}
+    series = wide("value", name=F.lit("event"), user="user_id", type="event_type")
+    return matching.matches(read(spark, sf_dir, "events"), stored, series).select("query_id", "event_id")
+
+
+@registered("select event_type as exception, case event_type when 'click' then 'timeout' when 'error' then 'connection_error' when 'purchase' then 'access_denied' when 'view' then 'bad_request' else 'unexpected_error' end as status, count(*) as n from events group by 1, 2")
+def calls_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions by class, subclasses included."""
+    kind = F.col("event_type")
+    name = F.when(kind == "click", "java.net.SocketTimeoutException").when(kind == "error", "java.io.EOFException").when(kind == "purchase", "javax.net.ssl.SSLKeyException").when(kind == "view", "java.lang.NumberFormatException").otherwise("java.lang.Error")
+    return read(spark, sf_dir, "events").select(kind.alias("exception"), calls.status_of_exception(name).alias("status")).groupBy("exception", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered("select user_id, count(*) as n from (select *, max(event_id % 50) over (partition by user_id order by event_id) as seen from events) where event_id % 50 >= seen group by 1")
 def late_rows_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 50).alias("ts_ms"))
     return consolidate.in_order(rows, ["user_id"], ["event_id"], 1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("select p_partkey, case when p_size > 25 then 'big' else p_brand end as brand, p_name as container, 'x' as app, case when p_size > 25 then 'none' else p_type end as kept, case when p_size % 2 = 0 then p_type else 'unknown' end as mfgr, 3 as n from part")
+def tags_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags added, overridden, kept, dropped and filled in."""
+    own = F.map_filter(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("container"), F.col("p_name"), F.lit("mfgr"), F.when(F.col("p_size") % 2 == 0, F.col("p_type"))), lambda k, v: v.isNotNull())
+    changed = tags.with_tags(own, {"brand": F.when(F.col("p_size") > 25, "big").otherwise(F.col("p_brand")), "app": "x"})
+    filled = tags.add_missing(changed, {"mfgr": "unknown", "brand": "never"})
+    kept = F.when(F.col("p_size") > 25, "none").otherwise(tags.drop_keys(F.create_map(F.lit("a"), F.col("p_type"), F.lit("b"), F.lit("gone")), ["b"])["a"])
+    shown = [filled[k].alias(k) for k in ("brand", "container", "app", "mfgr")]
+    return read(spark, sf_dir, "part").select("p_partkey", *shown, kept.alias("kept"), F.size(tags.keep_keys(filled, ["brand", "app", "mfgr", "nosuch"])).alias("n"))
+
+
+@registered("select event_type, code, sum(dropped)::bigint as dropped, sum(10 - dropped)::bigint as accepted, reason from (select event_type, code, case when code = 200 then 0 when code < 500 then least(user_id % 13, 10) else 10 end as dropped, case when code = 200 then null when code < 500 then 'validation' else 'http-error' end as reason from (select *, case event_id % 3 when 0 then 200 when 1 then 400 else 503 end as code from events)) group by event_type, code, reason")
+def sink_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What responses of a publish accept and drop."""
+    k = F.col("event_id") % 3
+    rows = read(spark, sf_dir, "events").select("event_type", F.when(k == 0, 200).when(k == 1, 400).otherwise(503).alias("code"), F.lit(10).cast("long").alias("sent"), (F.col("user_id") % 13).cast("long").alias("errors"))
+    return sinks.accounted(rows).groupBy("event_type", "code", "reason").agg(F.sum("dropped").cast("long").alias("dropped"), F.sum("accepted").cast("long").alias("accepted"))
+
+
+@registered("select p_partkey, 'size' as statistic, p_size::double as value from part union all select p_partkey, 'price', p_retailprice::double from part")
+def source_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot with one column a number as series."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    return unpivoted(rows, ["p_partkey"], ["size", "price"])
+
+
+@registered("select event_type as level, 'E' || (user_id % 4) as exception, count(*) as value from events where user_id % 5 > 0 group by 1, 2")
+def source_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("level"), F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("E"), F.col("user_id") % 4)).alias("exception"))
+    return log_counts(rows, "level", "exception")
+
+
+@registered("select event_type, round(sum(value), 2) as value from events where user_id % 3 > 0 group by 1")
+def meter_polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of sources under one id are added up, NaN left out."""
+    rows = read(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 3 > 0, F.col("value").cast("double")).otherwise(float("nan")).alias("value"))
+    return meters.polled(rows, ["event_type"]).withColumn("value", F.round("value", 2))
+
+
+@registered(f"select user_id, round(sum(case when amount > 0 then amount end), 2) as counter, arg_max(amount, (ts_ms, amount)) as gauge, max(amount) as most from {_EVENTS} group by 1")
+def meter_cumulative_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter, gauge and maximum since the beginning."""
+    rows = event_updates(spark, sf_dir)
+    counter, gauge, most = (meters.cumulative(rows, ["user_id"], k).withColumnRenamed("value", n) for k, n in (("counter", "counter"), ("gauge", "gauge"), ("max_gauge", "most")))
+    return counter.withColumn("counter", F.round("counter", 2)).join(gauge, "user_id", "full").join(most, "user_id", "full")
+
+
+@registered("with e as (select event_id, case user_id % 3 when 0 then '10.0.0.' || user_id when 1 then '[fe80::' || user_id || ']' else '[host' || user_id end as v, user_id % 3 < 2 as ip from events), f as (select ip, v, min(event_id) as a from e group by 1, 2), k as (select v, ip, row_number() over (partition by ip order by a) as r from f) select case when (k.ip and r <= 1) or (not k.ip and r <= 12) then e.v else '--others--' end as limited, count(*) as n from e join k on e.v = k.v group by 1")
+def limiter_names_and_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    v = F.when(u % 3 == 0, F.concat(F.lit("10.0.0."), u)).when(u % 3 == 1, F.concat(F.lit("[fe80::"), u, F.lit("]"))).otherwise(F.concat(F.lit("[host"), u))
+    return limiters.names_and_ips(read(spark, sf_dir, "events").select("event_id", v.alias("v")), "v", 12, ["event_id"]).groupBy("limited").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BODY = "regexp_replace(asg, '-v[0-9]{3,6}$', '')"
+
+
+@registered(f"select p_partkey, asg, case when asg not like '-%' then nullif(regexp_extract({_BODY}, '^[^-]*-[^-]*-(.*)$', 1), '') end as detail, case when asg like 'app-stack-det-x1%' then p_brand || 'q' end as shard1, case when asg like 'app-stack-det-x1%' then 'z' || p_size end as shard2 from (select p_partkey, p_brand, p_size, case p_partkey % 4 when 0 then 'app-stack-det-' || p_size || '-v001' when 1 then '-x-v001' when 2 then 'app--d' || p_size else 'app-stack-x1' || p_brand || 'q-x2z' || p_size || '-rest-v0123' end as asg from part)".replace("asg like 'app-stack-det-x1%'", "asg like 'app-stack-x1%'"))
+def scalar_server_group_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    asg = F.when(k == 0, F.concat(F.lit("app-stack-det-"), size, F.lit("-v001"))).when(k == 1, "-x-v001").when(k == 2, F.concat(F.lit("app--d"), size)).otherwise(F.concat(F.lit("app-stack-x1"), "p_brand", F.lit("q-x2z"), size, F.lit("-rest-v0123")))
+    rows = read(spark, sf_dir, "part").select("p_partkey", asg.alias("g"))
+    got = text.server_group(F.col("g"))
+    return rows.select("p_partkey", F.col("g").alias("asg"), *[got[x].alias(x) for x in ("detail", "shard1", "shard2")])
