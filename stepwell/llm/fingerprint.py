@@ -2,8 +2,8 @@
 
 A text is made canonical (Unicode NFKC, case folded, runs of white space to one space, ends trimmed) and
 hashed to 128 bits by xxh3. Texts with one digest form a bucket; inside a bucket the canonical bytes
-are compared, by taking their least and greatest value: a partial aggregate before any shuffle, so that a
-bucket with a third of all rows sends one row per task. Where both are equal, all are; otherwise (a collision)
+are compared, by collecting the distinct ones: a partial aggregate before any shuffle, so that a
+bucket with a third of all rows sends one text per task. Where there is one, all are equal; otherwise (a collision)
 fingerprints of that digest are widened by the canonical text's SHA-256 after a dash. Two fingerprints are equal
 if and only if the canonical texts are (of colliding ones: if their SHA-256 is, too).
 
@@ -60,8 +60,8 @@ def collisions(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> Dat
             yield pa.record_batch([pa.array([digest(c, bits) for c in canon], pa.string()), pa.array([c.encode("utf-8", "surrogatepass") for c in canon], pa.binary())], names=["digest", "canon"])
 
     rows = docs.select(F.lit(0).alias("x"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, canon binary")
-    ends = rows.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
-    return materialise(ends.where("a <> b").select("digest"), "digest-collisions")
+    texts = rows.groupBy("digest").agg(F.size(F.collect_set("canon")).alias("n"))  # the set has one member but for collisions
+    return materialise(texts.where("n > 1").select("digest"), "digest-collisions")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
