@@ -170,14 +170,8 @@ def meter_max_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.max_gauge(event_updates(spark, sf_dir), ["event_type"], HOUR)
 
 
-@registered(f"with r as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as ts_ms, sum(amount) / 3600 as v from {_EVENTS} where user_id < 5 group by 1, 2), s as (select event_type, unnest(generate_series(min(ts_ms), max(ts_ms), {HOUR})) as ts_ms from r group by 1) select s.event_type, s.ts_ms, round(coalesce(r.v, 0) * 3600, 4) as value from s left join r on s.event_type = r.event_type and s.ts_ms = r.ts_ms")
-def meter_dense_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = meters.counter(event_updates(spark, sf_dir).where("user_id < 5"), ["event_type"], HOUR)
-    return meters.densified(got, ["event_type"], HOUR).withColumn("value", whole("value", 3600))
-
-
 @registered(f"with r as (select event_type, (ts_ms // {10 * MINUTE} + 1) * {10 * MINUTE} as ts_ms, sum(amount) / 600 as v from {_EVENTS} where amount > 0 group by 1, 2), s as (select event_type, unnest(generate_series(min(ts_ms), max(ts_ms), {10 * MINUTE})) as ts_ms from r group by 1) select s.event_type, s.ts_ms, round(coalesce(r.v, 0) * 600, 4) as value from s left join r on s.event_type = r.event_type and s.ts_ms = r.ts_ms")
-def meter_dense_counter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def meter_dense_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All users; steps so fine that some have no updates."""
     got = meters.counter(event_updates(spark, sf_dir), ["event_type"], 10 * MINUTE)
     return meters.densified(got, ["event_type"], 10 * MINUTE).withColumn("value", whole("value", 600))
@@ -188,14 +182,8 @@ def meter_cumulative_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meters.cumulative(event_updates(spark, sf_dir), ["user_id", "event_type"], "timer").withColumn("total", F.round("total", 2))
 
 
-@registered(f"with x as (select event_type, count(*)::double as n, sum(amount) as t, max(amount) as m from {_EVENTS} group by 1) select event_type, 'count' as statistic, 'add' as op, n as value from x union all select event_type, 'totalAmount', 'add', round(t, 2) from x union all select event_type, 'max', 'max', m from x")
-def meter_stateless_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = meters.deltas(event_updates(spark, sf_dir), ["event_type"], "summary").where("statistic <> 'totalOfSquares'")
-    return got.withColumn("value", F.round("value", 2))
-
-
 @registered(f"with x as (select event_type, count(*)::double as n, sum(amount) as t, sum(amount * amount) as q, max(amount) as m from {_EVENTS} where amount >= 0 group by 1) select event_type, 'count' as statistic, 'add' as op, n as value from x union all select event_type, 'totalAmount', 'add', round(t, 4) from x union all select event_type, 'totalOfSquares', 'add', round(q, 4) from x union all select event_type, 'max', 'max', m from x")
-def meter_stateless_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def meter_stateless_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four statistics."""
     return meters.deltas(event_updates(spark, sf_dir), ["event_type"], "summary").withColumn("value", F.round("value", 4))
 
@@ -451,10 +439,9 @@ def scalar_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.round(a, 4).alias("a"), b.alias("b"))
 
 
-@registered("select p_partkey, 'part.' || lower(p_brand[1]) || p_brand[2:] || '.' || p_type || '.{nosuch}' as name from part where p_brand <> upper(p_brand)")
+@registered("select p_partkey, 'part.' || lower(p_brand[1]) || p_brand[2:] || '.' || p_type || '.{nosuch}' as name from part")
 def scalar_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").where("p_brand <> upper(p_brand)")
-    return rows.select("p_partkey", text.substitute("part.{brand}.{raw:type}.{nosuch}", lambda k: {"brand": F.col("p_brand"), "type": F.col("p_type")}.get(k, F.lit(None).cast("string"))).alias("name"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.substitute("part.{brand}.{raw:type}.{nosuch}", lambda k: {"brand": F.col("p_brand"), "type": F.col("p_type")}.get(k, F.lit(None).cast("string"))).alias("name"))
 
 
 @registered("select o_orderkey, regexp_replace(o_orderpriority || '/é', '[^-._A-Za-z0-9~^]', '_', 'g') as fixed from orders")
@@ -472,14 +459,8 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_measurements(read(spark, sf_dir, "events"), "event", {"type": "event_type", "user": "user_id"}, millis("ts"), F.col("value").cast("double"))
 
 
-@registered("""select '{"tags":{"dstype":"gauge","name":"event","type":"' || event_type || '","user":"' || user_id || '"},"timestamp":' || (epoch_us(ts) // 1000) || ',"value":' || (case when value = floor(value) then value::bigint || '.0' else value::varchar end) || '}' as json from events where event_type = 'view'""")
-def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events_series(spark, sf_dir).where("tags['type'] = 'view'")
-    return rows.select(sinks.measurement_json(F.col("name"), F.col("tags"), F.col("ts_ms"), F.col("value")).alias("json"))
-
-
 @registered("""select '{"tags":{"dstype":"gauge","name":"event","type":"' || event_type || '","user":"' || user_id || '"},"timestamp":' || (epoch_us(ts) // 1000) || ',"value":' || (case when value = floor(value) then value::bigint || '.0' else value::varchar end) || '}' as json from events""")
-def sink_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all types."""
     return events_series(spark, sf_dir).select(sinks.measurement_json(F.col("name"), F.col("tags"), F.col("ts_ms"), F.col("value")).alias("json"))
 
