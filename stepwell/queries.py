@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calls, filters, tags, text
-from .operators import consolidate, deltas, limiters, matching, meters, rollup, sketches
+from .operators import call_metrics, consolidate, deltas, limiters, matching, meters, rollup, sketches
 from .operators.aggregate import evaluate
 from .plans import regex
 from .plans.compile import Series, boolean, found, wide
@@ -590,3 +590,41 @@ def scalar_server_group_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select("p_partkey", asg.alias("g"))
     got = text.server_group(F.col("g"))
     return rows.select("p_partkey", F.col("g").alias("asg"), *[got[x].alias(x) for x in ("detail", "shard1", "shard2")])
+
+
+_CALLS = f"""with l as (select *, 'u' || user_id as v, case when event_id % 2 = 0 then 'client' else 'server' end as side, case event_type when 'error' then 500 when 'click' then 429 else 200 end as code, floor(amount)::bigint as ns from {_EVENTS}),
+c as (select ts_ms, side, ns, case when event_id % 3 > 0 then user_id end as res, case code when 500 then 'unexpected_error' when 429 then 'throttled' else 'success' end as status, case code when 200 then 'success' else 'failure' end as result, '_api_' || event_type as endpoint, case when (select count(distinct v) from l) > 25 then '--auto-rollup--' else v end as vip, case when side = 'client' then 'second' end as attempt, case when side = 'client' then 'true' end as final from l),
+r as (select *, 'ipc.' || side || '.call' as name, ns * 1e-9 as x, 'totalTime' as total from c union all select *, 'ipc.' || side || '.call.size.' || case side when 'client' then 'inbound' else 'outbound' end, res, 'totalAmount' from c where res is not null),
+g as (select name, status, result, endpoint, vip, attempt, final, total, count(*)::double as n, coalesce(sum(x) filter (x > 0), 0) as t, coalesce(max(x) filter (x > 0), 0) as m from r group by all)
+select name, status, result, endpoint, vip, attempt, final, statistic, round(value, 6) as value from (select *, 'count' as statistic, n as value from g union all select *, total, t from g union all select *, 'max', m from g union all select *, 'percentile', n from g where total = 'totalTime')"""
+
+
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls: clients with a second attempt, servers without."""
+    kind, client = F.col("event_type"), F.col("event_id") % 2 == 0
+    return event_updates(spark, sf_dir).select(
+        "ts_ms", F.when(client, "client").otherwise("server").alias("side"), F.floor("amount").alias("latency_ns"), F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("response_size"),
+        F.when(kind == "error", 500).when(kind == "click", 429).otherwise(200).alias("http_status"), F.concat(F.lit("/api/"), kind).alias("path"), F.concat(F.lit("u"), "user_id").alias("vip"),
+        F.lit(None).cast("long").alias("request_size"), F.lit(2).alias("attempt"), F.lit("me").alias("owner"),
+    )
+
+
+@registered(_CALLS)
+def calls_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timers, percentile counts and size summaries of a log of calls, over the whole time."""
+    got = call_metrics.measured(call_metrics.records(call_log(spark, sf_dir)), DAY)
+    tag = lambda k, n: F.col("tags")[k].alias(n)
+    keys = {"status": "ipc.status", "result": "ipc.result", "endpoint": "ipc.endpoint", "vip": "ipc.vip", "attempt": "ipc.attempt", "final": "ipc.attempt.final", "statistic": "statistic"}
+    flat = got.where("tags['statistic'] <> 'totalOfSquares'").select("name", *[tag(k, n) for n, k in keys.items()], "value")
+    value = F.when(F.col("statistic") == "max", F.max("value")).otherwise(F.sum("value") * (DAY / 1000))
+    return flat.groupBy("name", *keys).agg(F.round(value, 6).alias("value"))
+
+
+@registered("select event_id, case event_id % 4 when 0 then ['missing ipc.attempt.final', 'invalid ipc.attempt'] when 1 then ['result contradicts status'] else ['unspecified zone'] end::varchar[] as violations from events where event_id % 4 < 3")
+def calls_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of call metrics against the rules for their tags."""
+    k = F.col("event_id") % 4
+    base = F.create_map(*[F.lit(x) for x in ("owner", "me", "ipc.status", "success")])
+    tags_of = F.map_concat(base, F.when(k == 0, F.create_map(*[F.lit(x) for x in ("ipc.result", "success", "ipc.attempt", "fifth")])).when(k == 1, F.create_map(F.lit("ipc.result"), F.lit("failure"))).when(k == 2, F.create_map(*[F.lit(x) for x in ("ipc.result", "success", "zone", "z")])).otherwise(F.create_map(F.lit("ipc.result"), F.lit("success"))))
+    rows = read(spark, sf_dir, "events").select("event_id", F.when(k == 0, "ipc.client.call").otherwise("ipc.server.call").alias("name"), tags_of.alias("tags"))
+    return call_metrics.violations(rows, strict=True).select("event_id", "violations")
