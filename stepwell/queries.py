@@ -16,7 +16,7 @@ from .operators.aggregate import evaluate
 from .plans import regex
 from .plans.compile import Series, boolean, found, wide
 from .sources import sinks
-from .sources.tables import attempts, log_counts, millis, to_measurements, unpivoted
+from .sources.tables import attempts, log_counts, lookup, millis, to_measurements, unpivoted
 from .streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,3 +628,9 @@ def calls_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags_of = F.map_concat(base, F.when(k == 0, F.create_map(*[F.lit(x) for x in ("ipc.result", "success", "ipc.attempt", "fifth")])).when(k == 1, F.create_map(F.lit("ipc.result"), F.lit("failure"))).when(k == 2, F.create_map(*[F.lit(x) for x in ("ipc.result", "success", "zone", "z")])).otherwise(F.create_map(F.lit("ipc.result"), F.lit("success"))))
     rows = read(spark, sf_dir, "events").select("event_id", F.when(k == 0, "ipc.client.call").otherwise("ipc.server.call").alias("name"), tags_of.alias("tags"))
     return call_metrics.violations(rows, strict=True).select("event_id", "violations")
+
+
+@registered(f"select ts_ms, amount::double as value from {_EVENTS} where event_type = 'view' and user_id = 7")
+def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of one name and exactly two tags."""
+    return lookup(events_series(spark, sf_dir), "event", {"type": "view", "user": "7"}).select("ts_ms", "value")

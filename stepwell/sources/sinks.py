@@ -46,11 +46,16 @@ def string_table(df: DataFrame, size: int, order: list[str], common: dict[str, s
     sent = ~F.isnan("value") & ((F.col("value") > 0) | (F.col("__op") == 10))
     entry = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], pairs.alias("__s"), "__op", F.col("value").alias("__v"), sent.alias("__sent"))
     made = rows.groupBy("batch").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    made = made.withColumn("t", F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["__s"])))))
-    head = F.concat(F.array(F.size("t").cast("string")), F.transform("t", lambda s: F.regexp_extract(F.to_json(F.array(s)), r"(?s)^\[(.*)\]$", 1)))
-    number = lambda x: F.concat_ws(",", (F.size(x["__s"]) / 2).cast("int").cast("string"), F.array_join(F.transform(x["__s"], lambda s: (F.array_position("t", s) - 1).cast("string")), ","), x["__op"].cast("string"), x["__v"].cast("string"))
-    body = F.transform(F.filter("m", lambda x: x["__sent"]), number)
-    return made.select("batch", F.concat(F.lit("["), F.array_join(F.concat(head, body), ","), F.lit("]")).alias("payload"))
+    strings = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["__s"]))))
+
+    def payload(b: Column) -> Column:
+        head = F.concat(F.array(F.size(b["t"]).cast("string")), F.transform(b["t"], lambda s: F.regexp_extract(F.to_json(F.array(s)), r"(?s)^\[(.*)\]$", 1)))
+        number = lambda x: F.concat_ws(",", (F.size(x["__s"]) / 2).cast("int").cast("string"), F.array_join(F.transform(x["__s"], lambda s: (F.array_position(b["t"], s) - 1).cast("string")), ","), x["__op"].cast("string"), x["__v"].cast("string"))
+        return F.concat(F.lit("["), F.array_join(F.concat(head, F.transform(F.filter(b["m"], lambda x: x["__sent"]), number)), ","), F.lit("]"))
+
+    # the strings are the value of a lambda variable: as a column they would be sorted again for every tag
+    bound = F.transform(F.array(F.struct("m", strings.alias("t"))), payload)
+    return made.select("batch", F.get(bound, F.lit(0)).alias("payload"))
 
 
 #: Letter of the line protocol by meter type.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,19 @@ def stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = M
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
+def lookup(df: DataFrame, name: str, tags: dict[str, str]) -> DataFrame:
+    """The rows of one series: the name and exactly these tags. Name and keys are plain comparisons, which reach the scan where columns allow."""
+    same = (F.col("name") == name) & (F.size("tags") == len(tags))
+    for k, v in sorted(tags.items()):
+        same = same & (F.col("tags")[k] == v)
+    return df.where(same)
+
+
+def of_type(df: DataFrame, *kinds: str, kind: str = "kind") -> DataFrame:
+    """The rows of some meter types."""
+    return df.where(F.col(kind).isin(*kinds))
+
+
 def to_measurements(df: DataFrame, name: str | Column, tags: dict[str, str | Column], ts_ms: Column, value: str | Column) -> DataFrame:
     """Any table as measurements; null tags are left out."""
     entries = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))])
@@ -35,9 +50,13 @@ def subscriptions(df: DataFrame, now_ms: int | None = None) -> list[dict]:
 
 
 def env_tags(env: dict[str, str], names: dict[str, list[str]], skip: tuple[str, ...] = ()) -> dict[str, str]:
-    """Common tags from environment variables: for each key the first variable that is set and not empty."""
+    """Common tags from environment variables: for each key the first variable that is set and not empty.
+
+    Characters that tags can't hold become underscores, in keys and values.
+    """
+    fixed = lambda s: re.sub(r"[^-._A-Za-z0-9~^]", "_", s)
     found = {k: next((env[v].strip() for v in several if env.get(v, "").strip()), None) for k, several in names.items() if k not in skip}
-    return {k: v for k, v in found.items() if v}
+    return {fixed(k): fixed(v) for k, v in found.items() if v}
 
 
 def unpivoted(df: DataFrame, ids: list[str], columns: list[str], key: str = "statistic") -> DataFrame:
