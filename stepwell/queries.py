@@ -17,7 +17,7 @@ from .plans import regex
 from .plans.compile import Series, boolean, found, wide
 from .sources import sinks
 from .sources.tables import attempts, log_counts, lookup, millis, to_measurements, unpivoted
-from .streaming import pipeline
+from .streaming import pipeline, publish
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -492,12 +492,17 @@ _DAILY = f"r as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, sum(amo
 _PEAKS = f"g as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, max(amount) as v from {_EVENTS} group by 1, 2), p as (select event_type, ((t + {6 * HOUR - 1}) // {6 * HOUR}) * {6 * HOUR} as ts, max(v) as v from g group by 1, 2)"
 
 
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rates and peaks of each type of event, as measurements."""
+    rows = event_updates(spark, sf_dir)
+    series = lambda df, name, kind: df.select(F.lit(name).alias("name"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("statistic"), F.lit(kind)).alias("tags"), "ts_ms", "value")
+    return series(meters.counter(rows, ["event_type"], HOUR), "events", "count").unionByName(series(meters.max_gauge(rows, ["event_type"], HOUR), "peak", "gauge"))
+
+
 @registered(f"with {_DAILY}, {_PEAKS} select ts as timestamp, 'by' as sub_id, event_type as type, null::varchar as region, round(v * 86400, 4) as value from d union all select ts, 'total', null, null, round(sum(v) * 86400, 4) from d group by 1 union all select ts, 'region', null, 'r1', round(sum(v) * 86400, 4) from d group by 1 union all select ts, 'peak', event_type, null, round(v * 86400, 4) from p")
 def subscriptions_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly rates and peaks under subscriptions of a day and of six hours: consolidated by series, then aggregated."""
-    rows = event_updates(spark, sf_dir)
-    series = lambda df, name, kind: df.select(F.lit(name).alias("name"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("statistic"), F.lit(kind)).alias("tags"), "ts_ms", "value")
-    points = series(meters.counter(rows, ["event_type"], HOUR), "events", "count").unionByName(series(meters.max_gauge(rows, ["event_type"], HOUR), "peak", "gauge"))
+    points = event_points(spark, sf_dir)
     subs = [("by", "name,events,:eq,:sum,(,type,),:by", DAY), ("total", "name,events,:eq,:sum", DAY), ("region", "region,r1,:eq,name,events,:eq,:and,:sum,(,region,),:by", DAY), ("peak", "name,peak,:eq,:max,(,type,),:by", 6 * HOUR), ("bad", "a,:nosuch", DAY), ("odd", ":true,:sum", DAY + 1)]
     due = pipeline.due([{"id": i, "expression": e, "frequency": f} for i, e, f in subs], HOUR)
     got = pipeline.evaluated(points, due, HOUR, common={"region": "r1"})
@@ -634,3 +639,17 @@ def calls_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The series of one name and exactly two tags."""
     return lookup(events_series(spark, sf_dir), "event", {"type": "view", "user": "7"}).select("ts_ms", "value")
+
+
+@registered(f"""with {_DAILY}, g as (select event_type, (ts_ms // {HOUR} + 1) * {HOUR} as t, max(amount) as v from {_EVENTS} group by 1, 2), p as (select event_type, ((t + {DAY - 1}) // {DAY}) * {DAY} as ts, max(v) as v from g group by 1, 2),
+a as (select 'events' as name, 'sum' as dstype, ts, event_type, v * 86400 as v from d union all select 'peak', 'gauge', ts, event_type, v from p)
+select case event_type when 'click' then '{{"region":"r1"}}' else '{{"node":"n1","region":"r1"}}' end as common, name, event_type as type, dstype, ts as timestamp, round(v, 4) as value, true as small from a""")
+def publish_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly measurements published by day: consolidated, rolled up, batched, and read back from the payloads."""
+    rows = publish.prepared(event_points(spark, sf_dir), HOUR, DAY, [rollup.Rule("type,click,:eq", ("node",))], {"region": "r1", "node": "n1"})
+    sent = publish.batched(rows, 20)
+    read_back = F.from_json("metrics", "array<struct<tags: map<string,string>, timestamp: bigint, value: double>>")
+    flat = sent.select(F.col("tags").alias("common"), (F.col("n") <= 20).alias("small"), F.explode_outer(read_back).alias("m"))
+    tag = lambda k: F.col("m.tags")[k]
+    value = F.when(tag("name") == "events", F.col("m.value") * 86400).otherwise(F.col("m.value"))
+    return flat.select("common", tag("name").alias("name"), tag("type").alias("type"), tag("dstype").alias("dstype"), "m.timestamp", F.round(value, 4).alias("value"), "small")
