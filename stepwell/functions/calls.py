@@ -68,8 +68,8 @@ def valid_code(code: Column) -> Column:
 
 def derived(log: DataFrame) -> DataFrame:
     """A log (any of status, result, http_status, exception, http_method, asg, app, cluster, zone, region, attempt,
-    endpoint) with the fields that follow from others filled in where they are null."""
-    from .text import server_group
+    endpoint, path) with the fields that follow from others filled in where they are null."""
+    from .text import sanitize_path, server_group
 
     have = set(log.columns)
     col = lambda c, kind="string": F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
@@ -79,7 +79,7 @@ def derived(log: DataFrame) -> DataFrame:
     group = server_group(col("asg"))
     return log.withColumns({
         "http_status": code, "status": status, "result": F.coalesce(col("result"), result_of(status)), "status_detail": F.coalesce(col("status_detail"), simple), "http_method": F.lower(F.coalesce(col("http_method"), F.lit("unknown"))),
-        "app": F.coalesce(col("app"), group["app"]), "cluster": F.coalesce(col("cluster"), group["cluster"]), "region": F.coalesce(col("region"), region_of(col("zone"))), "attempt": attempt_of(F.coalesce(col("attempt", "int"), F.lit(1))), "endpoint": F.coalesce(col("endpoint"), F.lit("unknown")),
+        "app": F.coalesce(col("app"), group["app"]), "cluster": F.coalesce(col("cluster"), group["cluster"]), "region": F.coalesce(col("region"), region_of(col("zone"))), "attempt": attempt_of(F.coalesce(col("attempt", "int"), F.lit(1))), "endpoint": F.coalesce(col("endpoint"), F.when(code != 404, sanitize_path(col("path"))), F.lit("unknown")),
     })
 
 

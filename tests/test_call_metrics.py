@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stepwell.functions import calls
 from stepwell.operators import call_metrics
 
 LOG = "side string, ts_ms long, latency_ns long, request_size long, response_size long, owner string, vip string, path string, http_status int, exception string, server_asg string, extra map<string,string>"
@@ -39,3 +40,8 @@ def test_records_keep_the_rules(spark):
     wrong = made.withColumn("meter_type", F.lit("gauge")).withColumn("tags", F.map_filter("tags", lambda k, _: k != "owner"))
     assert {tuple(r.violations) for r in call_metrics.violations(wrong, kind="meter_type").collect()} == {("missing owner", "wrong type")}
     assert call_metrics.records(rows.limit(0)).count() == 0
+
+
+def test_endpoints_follow_from_paths(spark):
+    rows = spark.createDataFrame([(1, "/a/b?x", 200), (2, "/a/b", 404), (3, None, 200)], "n int, path string, http_status int")
+    assert [r.endpoint for r in calls.derived(rows).orderBy("n").collect()] == ["_a_b", "unknown", "unknown"]
