@@ -70,8 +70,7 @@ def is_ip(value: Column) -> Column:
     return value.rlike(IPV4) | (value.startswith("[") & value.endswith("]"))
 
 
-def names_and_ips(df: DataFrame, value: str, n: int, order: list[str], out: str = "limited") -> DataFrame:
-    """Names keep their first ``n``, addresses their first one."""
-    ip = is_ip(F.col(value))
-    names = first(df.where(~ip | F.col(value).isNull()), value, n, order, out=out)
-    return names.unionByName(first(df.where(ip), value, 1, order, out=out))
+def names_and_ips(df: DataFrame, value: str, n: int, order: list[str], out: str = "limited", ip: Column | None = None) -> DataFrame:
+    """Names keep their first ``n``, addresses their first one; ``ip`` says what is an address where it isn't ``is_ip``."""
+    ip = F.coalesce(is_ip(F.col(value)) if ip is None else ip, F.lit(False))  # null is no address
+    return first(df.where(~ip), value, n, order, out=out).unionByName(first(df.where(ip), value, 1, order, out=out))
