@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import add_missing, fix_chars, keep_keys, to_map
@@ -18,13 +22,13 @@ def measurement_json(name: Column, tags: Column, ts_ms: Column, value: Column, c
 
 
 def numbered(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """``df`` with batch, of about ``size`` rows each.
+    """``df`` with batch, of about ``size`` rows each; the rows of a batch follow each other.
 
     Rows are range-partitioned and numbered inside their partition, so no task sees all rows; a batch doesn't span partitions.
     """
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return spread.withColumn("batch", F.concat_ws("-", F.col("__p"), F.floor(at / size))).drop("__p")
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id())
+    at = F.col("__i").bitwiseAND((1 << 33) - 1)  # the partition is in the bits above
+    return spread.withColumn("batch", F.concat_ws("-", F.shiftright("__i", 33), F.floor(at / size))).drop("__i")
 
 
 def payloads(df: DataFrame, size: int, order: list[str]) -> DataFrame:
@@ -33,29 +37,67 @@ def payloads(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     return rows.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("metrics"))
 
 
+#: What JSON escapes in strings, besides control characters without a short form.
+ESCAPED = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+
+def _encoder() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows whose batches follow each other to batch and payload. All inside, so that workers get it whole and need no import."""
+
+    def quoted(word: bytes) -> str:
+        text = word.decode("utf-8", "replace")
+        return '"' + re.sub(r'[\x00-\x1f"\\]', lambda m: ESCAPED.get(m[0]) or f"\\u{ord(m[0]):04X}", text) + '"'
+
+    def payload(parts: list[pa.RecordBatch]) -> str:
+        """The payload of one batch: its rows' strings and their ends, null where a row isn't sent."""
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        strings, ends = rows["__s"].chunk(0), rows["__end"].chunk(0)
+        words = pc.dictionary_encode(strings.flatten())
+        order = pc.sort_indices(words.dictionary).to_numpy()  # by bytes, as Spark sorts strings
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sizes = pc.list_value_length(strings).to_numpy()
+        at = pc.binary_join_element_wise("", pa.array(rank[words.indices.to_numpy()]).cast(pa.string()), ",")
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), at)
+        entries = pc.binary_join_element_wise(pa.array(sizes // 2).cast(pa.string()), pc.binary_join(lists, ""), ",", ends, "")
+        table = words.dictionary.cast(pa.binary()).take(pa.array(order)).to_pylist()
+        return "[" + ",".join([str(len(table)), *map(quoted, table), *entries.drop_null().to_pylist()]) + "]"
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """batch and payload of rows whose batches follow each other; a worker holds one batch and what Arrow sends at a time."""
+        name, held = None, []
+        made = lambda: pa.RecordBatch.from_pydict({"batch": pa.array([name], pa.string()), "payload": pa.array([payload(held)], pa.string())})
+        for part in rows:
+            runs, start = pc.run_end_encode(part["batch"]), 0
+            for end, batch in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if batch != name and held:
+                    yield made()
+                    held = []
+                name = batch
+                held.append(part.slice(start, end - start))
+                start = end
+        if held:
+            yield made()
+
+    return run
+
+
 def string_table(df: DataFrame, size: int, order: list[str], common: dict[str, str] | None = None) -> DataFrame:
     """batch and payload: ``[n, strings..., (number of tags, key, value, ..., op, value) ...]`` with op 0 to add and 10 for a maximum.
 
-    Strings are numbered in sorted order; NaN and sums not above 0 aren't sent.
+    Strings are numbered in sorted order; null, NaN and sums not above 0 aren't sent, nor tags that are null. Rows equal in ``order``
+    come by their strings and values. Strings are looked up by a hash table, made once a batch in an Arrow worker.
     """
-    common = common or {}
-    stat = F.col("tags")["statistic"]
+    stat, value = F.col("tags")["statistic"], F.col("value")
     op = F.when(F.coalesce(stat.isin(*SUMMED), F.lit(False)), 0).otherwise(10)
-    rows = numbered(df, size, order).withColumn("__op", op)
-    pairs = F.concat(*[F.array(F.lit(k), F.lit(v)) for k, v in sorted(common.items())], F.flatten(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.array(e["key"], e["value"]))), F.array(F.lit("name"), F.col("name")))
-    sent = ~F.isnan("value") & ((F.col("value") > 0) | (F.col("__op") == 10))
-    entry = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], pairs.alias("__s"), "__op", F.col("value").alias("__v"), sent.alias("__sent"))
-    made = rows.groupBy("batch").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    strings = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["__s"]))))
-
-    def payload(b: Column) -> Column:
-        head = F.concat(F.array(F.size(b["t"]).cast("string")), F.transform(b["t"], lambda s: F.regexp_extract(F.to_json(F.array(s)), r"(?s)^\[(.*)\]$", 1)))
-        number = lambda x: F.concat_ws(",", (F.size(x["__s"]) / 2).cast("int").cast("string"), F.array_join(F.transform(x["__s"], lambda s: (F.array_position(b["t"], s) - 1).cast("string")), ","), x["__op"].cast("string"), x["__v"].cast("string"))
-        return F.concat(F.lit("["), F.array_join(F.concat(head, F.transform(F.filter(b["m"], lambda x: x["__sent"]), number)), ","), F.lit("]"))
-
-    # the strings are the value of a lambda variable: as a column they would be sorted again for every tag
-    bound = F.transform(F.array(F.struct("m", strings.alias("t"))), payload)
-    return made.select("batch", F.get(bound, F.lit(0)).alias("payload"))
+    own = F.transform(F.array_sort(F.filter(F.map_entries("tags"), lambda e: e["value"].isNotNull())), lambda e: F.array(e["key"], e["value"]))
+    named = F.when(F.col("name").isNotNull(), F.array(F.lit("name"), F.col("name")))
+    pairs = F.concat(*[F.array(F.lit(k), F.lit(v)) for k, v in sorted((common or {}).items())], *[F.coalesce(x, F.array().cast("array<string>")) for x in (F.flatten(own), named)])
+    keys = [f"__o{i}" for i in range(len(order))]
+    entries = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], pairs.alias("__s"), op.alias("__op"), value.alias("__v"))
+    rows = numbered(entries, size, [*keys, "__s", "__op", "__v"])
+    sent = F.col("__v").isNotNull() & ~F.isnan("__v") & ((F.col("__v") > 0) | (F.col("__op") == 10))
+    return rows.select("batch", "__s", F.when(sent, F.concat_ws(",", "__op", "__v")).alias("__end")).mapInArrow(_encoder(), "batch string, payload string")
 
 
 #: Letter of the line protocol by meter type.
